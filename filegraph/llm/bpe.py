@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filegraph.llm.common import bounded_batches
+from filegraph.llm.common import bounded_batches, lean
 from filegraph.llm.pretokens import chunks, compiled
 
-LONG, CACHE = 400, 300_000
+LONG, CACHE, PART = 400, 100_000, 25_000
 
 _CONTRACT = """
 WITH RECURSIVE s(w, pos, tok, nx, nn, k) AS (
@@ -61,7 +61,7 @@ class Coder:
         self.words: dict[str, tuple[str, str]] = {}
         self.chunks: dict[object, tuple[str, str]] = {}
         pairs = [(a, b, n) for t, n in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         table = lambda name, **cols: (self.db.register("given", pa.table(cols)), self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given"))
         table("merges", l=pa.array([x[0] for x in pairs], pa.int32()), r=pa.array([x[1] for x in pairs], pa.int32()), n=pa.array([x[2] for x in pairs], pa.int64()))
         table("tokens", id=pa.array(list(self.ranks.values()), pa.int32()), hex=pa.array([t.hex() for t in self.ranks], pa.string()))
@@ -96,8 +96,8 @@ class Coder:
             else:
                 todo.append(w)
                 raw.append(b)
-        for at in range(0, len(todo), 60_000):
-            part = raw[at : at + 60_000]
+        for at in range(0, len(todo), PART):
+            part = raw[at : at + PART]
             size, every = np.array(list(map(len, part))), np.frombuffer(b"".join(part), np.uint8)
             pos = np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size)
             self.db.register("fresh", pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), size), "pos": pos.astype(np.int32), "tok": self.one[every]}))
@@ -155,4 +155,4 @@ def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             cols = pa.array([x[0] for x in found], pa.int64()), *(pa.array([digest(x[i]) for x in found], pa.string()) for i in (1, 2))
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, _coders.clear), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

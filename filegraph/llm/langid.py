@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filegraph.llm.common import bounded_batches, crc_mod, staged
+from filegraph.llm.common import bounded_batches, crc_mod, lean, staged
 
 PROFILE, PER_LANGUAGE, UNKNOWN = 300, 2000, "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -78,7 +78,7 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray]:
     # Hashes of ids are even over [0, 1); those under the rate are the sample.
     place = (F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 40)) / float(1 << 40)).alias("place")
     sample = train.withColumn("place", place).join(rates, "lang").filter("place < rate").select("lang", "text")
-    counts = sample.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(lean(_counted), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "code"))
     top = counts.withColumn("rank", rank).filter(F.col("rank") <= PROFILE).orderBy("lang", "rank").collect()  # PROFILE rows of each language
     out: dict[str, list] = {}
@@ -107,7 +107,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], columns: list[str]
 
     df = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").cast("string").alias("t"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
-    out = df.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    out = df.mapInArrow(lean(run), f"{kinds}, lang_pred string, score double")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "lang_pred", "score")
 
 

@@ -27,9 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filegraph.llm.common import bounded_batches, mix64, staged, text_batches
+from filegraph.llm.common import bounded_batches, lean, mix64, staged, text_batches
 
 BANDS, ROWS, SHINGLE = 32, 4, 5
+#: Up to so many ids are sent to every executor to pick their texts; more are joined by shuffle.
+BROADCAST_IDS = 300_000
 #: A link needs 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
 #: Of 128 coordinates so many agree for a pair at the threshold with all but 1e-9 of certainty (mean 96, deviation 4.9).
@@ -99,7 +101,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(docs: DataFrame) -> DataFrame:
     """id, u (unit), n (set size), sig (low byte of each coordinate), bands: for each row of docs (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_features, "id long, u long, n long, sig binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_features), "id long, u long, n long, sig binary, bands array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,15 +138,17 @@ def plausible(pairs: DataFrame, feats: DataFrame) -> DataFrame:
     own = feats.filter("u is not null").select("u", "n", "sig").dropDuplicates(["u"])
     both = pairs.join(own.toDF("a", "na", "ga"), "a").join(own.toDF("b", "nb", "gb"), "b")
     both = both.filter(100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
-    return both.select("a", "b", "ga", "gb").mapInArrow(_alike, "a long, b long")
+    return both.select("a", "b", "ga", "gb").mapInArrow(lean(_alike), "a long, b long")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
     """Of (a, b) those that the full sets link. names: u and id, a document that has the unit's text."""
     wanted = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct().join(names, "u").select(F.col("id").alias("doc_id"))
+    wanted = staged(wanted, "minhash-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-    sets = staged(texts.mapInArrow(_sets, "u long, s binary").dropDuplicates(["u"]), "minhash-sets")
-    return pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").mapInArrow(_linked, "a long, b long")
+    sets = staged(texts.mapInArrow(lean(_sets), "u long, s binary").dropDuplicates(["u"]), "minhash-sets")
+    return pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").mapInArrow(lean(_linked), "a long, b long")
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:

@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filegraph.llm.common import bounded_batches, crc_mod, mix64, staged
+from filegraph.llm.common import bounded_batches, crc_mod, lean, mix64, staged
 
-BUCKETS, DIM, NONZERO, WINDOW, SAMPLE, CACHE = 4096, 64, 4, 3, 20_000, 400_000
+BUCKETS, DIM, NONZERO, WINDOW, SAMPLE, CACHE = 4096, 64, 4, 3, 20_000, 150_000
 _SHAPES = 64  # the last buckets are shapes and flags
 
 
@@ -112,7 +112,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """BUCKETS vectors of DIM numbers, gathered from all texts; their size does not depend on the corpus."""
     bounded_batches(docs.sparkSession)
-    sums = docs.select(F.col("text").cast("string")).mapInArrow(_contexts, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+    sums = docs.select(F.col("text").cast("string")).mapInArrow(lean(_contexts, _cache.clear), "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
     w = np.zeros(BUCKETS * DIM)
     w[sums["k"].to_numpy(np.int64)] = sums["v"].to_numpy(np.float64)
     w = w.reshape(BUCKETS, DIM)
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network:
             x = [pooled(t, vectors).tolist() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), b.column(1)], names=["x", "y"])
 
-    rows = labelled_sample(docs, labels, "quality", 3, 1, SAMPLE).mapInArrow(pool, "x array<float>, y int").toPandas()
+    rows = labelled_sample(docs, labels, "quality", 3, 1, SAMPLE).mapInArrow(lean(pool, _cache.clear), "x array<float>, y int").toPandas()
     rows["k"] = rows["x"].map(lambda x: np.asarray(x, np.float32).tobytes())
     rows = rows.sort_values(["k", "y"])  # the same order in each run
     x = np.stack(rows["x"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, DIM + 1))
@@ -202,5 +202,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = network(np.stack([pooled(t, vectors) for t in texts]).astype(np.float64)) if texts else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, _cache.clear), "doc_id long, score double")
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

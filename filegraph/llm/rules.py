@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filegraph.llm.common import bounded_batches, mix64, staged, text_batches
+from filegraph.llm.common import bounded_batches, lean, mix64, staged, text_batches
 
 SUBSET, STEPS, MIN_GROUP = 0.75, 4, 200
 #: Least standard deviation of: log words, log word length, symbol share, capital share, repeat share, duplicate-line share, mark share, log distinct-word excess.
@@ -83,7 +83,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame) -> DataFrame:
     df = docs.select(F.col("doc_id").cast("long"), *[F.col(c).cast("string") for c in ("text", "lang", "source")])
-    return df.mapInArrow(_measured, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS) + ", x array<double>")
+    return df.mapInArrow(lean(_measured), "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS) + ", x array<double>")
 
 
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filegraph.llm.common import bounded_batches, mix64, staged
+from filegraph.llm.common import bounded_batches, lean, mix64, staged
 
-CHAIN, SHORT, GAP, CACHE, RANGE_ROWS = 2, 40, 5, 400_000, 3000
+CHAIN, SHORT, GAP, CACHE, RANGE_ROWS = 2, 40, 5, 150_000, 3000
 #: Very common words of English, German, French and Spanish (fixed values).
 ANCHORS = frozenset(
     "the of and to in is that it for as with be by on are this was not or from "
@@ -127,7 +127,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
-    bounded_batches(spark, 1000, "8m")
+    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__t"))
     ids = rows.select("__id")
     n = ids.count()
@@ -140,7 +140,7 @@ def report(docs: DataFrame) -> DataFrame:
             r = np.where(np.isnan(i.astype(np.float64)), 0, np.searchsorted(cuts, i.astype(np.float64), "right")) if len(cuts) else np.zeros(len(i))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r.astype(np.int64))], names=["__id", "__t", "__r"])
 
-    rows = rows.mapInArrow(ranged, "__id long, __t string, __r long").withColumn("__h", F.xxhash64("__t"))
+    rows = rows.mapInArrow(lean(ranged), "__id long, __t string, __r long").withColumn("__h", F.xxhash64("__t"))
     # One head for each range: the least id, and the least hash of its texts. Of so few rows the driver may know.
     heads = rows.groupBy("__r").agg(F.min(F.struct("__id", "__h")).alias("x")).select("__r", "x.*").orderBy("__r").collect()
     if not heads:
@@ -152,4 +152,4 @@ def report(docs: DataFrame) -> DataFrame:
     every = rows.withColumn("__end", F.lit(0)).unionByName(tails)
     parts = max(len(heads), int(spark.conf.get("spark.sql.shuffle.partitions")))
     every = every.repartition(parts, "__r").sortWithinPartitions("__r", "__end", "__id", "__h")
-    return every.select("__r", "__id", "__t").mapInArrow(_compared, _SCHEMA)
+    return every.select("__r", "__id", "__t").mapInArrow(lean(_compared, _cache.clear), _SCHEMA)

@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filegraph.llm.common import bounded_batches
+from filegraph.llm.common import bounded_batches, lean
 from filegraph.llm.pretokens import chunks, compiled
 
-LIMIT, CACHE, PAIRS = 512, 400_000, 1_000_000
+LIMIT, CACHE, PAIRS = 512, 150_000, 500_000
 _BLANK = regex.compile(r"\p{White_Space}+")
 
 
@@ -184,5 +184,5 @@ def report(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT) -> Data
             size, n = pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([own.count(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, n], names=["doc_id", "n_bytes", "n_tokens"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, _counters.clear), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filegraph.llm.common import bounded_batches, crc_mod
+from filegraph.llm.common import bounded_batches, crc_mod, lean
 from filegraph.llm.quality import labelled_sample
 
-POSITIVES, UNLABELLED, FIT_CHARS, COMMON, SURE, STEPS, CACHE = 3000, 6000, 100_000, 0.02, 5.0, 400, 400_000
+POSITIVES, UNLABELLED, FIT_CHARS, COMMON, SURE, STEPS, CACHE = 3000, 6000, 100_000, 0.02, 5.0, 400, 150_000
 BEGINNINGS = range(4, 9)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -140,5 +140,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, score double")
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
