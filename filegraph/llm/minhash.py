@@ -5,9 +5,12 @@ A document's set holds its distinct five-word shingles. One permutation (sigma)
 needs two permutations. Rows of coordinates are banded, documents that share a band are candidates, and each link is
 confirmed on the full sets (64-bit hashes of all shingles).
 
-Equal word sequences are one unit from the start. Units of a bucket are first compared with one leader each; what
-that joins is then one component, and only pairs of a bucket that still lie in different components are compared
-exhaustively. A large group of copies thus costs about its size, and no link between different components is lost.
+Equal word sequences are one unit from the start. Units of a bucket are first compared with one leader each, the unit
+whose own buckets are the most crowded: of a group of near copies the one nearest to all. What that joins is then one
+component. Units of buckets that still hold different components are paired by their rarest shingles: two sets over the
+threshold share one among the first places of both, in order of frequency among these units, and how far the places
+reach follows from both sizes. Each place is exact, so no link between different components is lost, and what a large
+group of near copies has in common makes no pairs.
 
 With 32 bands of 4 rows a pair at the threshold (0.75) shares no band with probability 5e-6, at 0.85 with 6e-11.
 Unit ids are 64-bit hashes: two different texts among N share one with probability about N**2 / 2**65.
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filegraph.llm.common import bounded_batches, lean, mix64, staged, text_batches
@@ -34,6 +37,8 @@ BANDS, ROWS, SHINGLE = 32, 4, 5
 BROADCAST_IDS = 300_000
 #: A link needs 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
+#: Ratio of the classes of set sizes.
+SIZE_STEP = 1.06
 #: Of 128 coordinates so many agree for a pair at the threshold with all but 1e-9 of certainty (mean 96, deviation 4.9).
 AGREE = 66
 _WEIGHTS = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -141,14 +146,47 @@ def plausible(pairs: DataFrame, feats: DataFrame) -> DataFrame:
     return both.select("a", "b", "ga", "gb").mapInArrow(lean(_alike), "a long, b long")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """Of (a, b) those that the full sets link. names: u and id, a document that has the unit's text."""
-    wanted = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct().join(names, "u").select(F.col("id").alias("doc_id"))
-    wanted = staged(wanted, "minhash-wanted")
+def full_sets(docs: DataFrame, units: DataFrame, names: DataFrame) -> DataFrame:
+    """u, c, s (full set) of units (u, c). names: u and id, a document that has the unit's text."""
+    wanted = staged(units.join(names, "u").select(F.col("id").alias("doc_id")), "minhash-wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-    sets = staged(texts.mapInArrow(lean(_sets), "u long, s binary").dropDuplicates(["u"]), "minhash-sets")
-    return pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").mapInArrow(lean(_linked), "a long, b long")
+    return staged(texts.mapInArrow(lean(_sets), "u long, s binary").dropDuplicates(["u"]).join(units, "u").select("u", "c", "s"), "minhash-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of (a, b) those that the full sets link."""
+    own = sets.select("u", "s")
+    return pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").mapInArrow(lean(_linked), "a long, b long")
+
+
+def _unrolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for u, c, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            h = np.frombuffer(s, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x, np.int64)) for x in (u, c, len(h))] + [pa.array(h)], names=["u", "c", "n", "h"])
+
+
+def rare_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b) of different components (c) that share a shingle among the rarest of both, as every linked pair does.
+
+    A pair of sizes n <= m is linked only if it shares `need(n, m)` shingles; in one order of all shingles, the first
+    that they share then stands at place n - need or before in one set, m - need or before in the other. The smaller
+    set is filed under its class of size, the larger looks in each class that the threshold allows.
+    """
+    need = lambda n, m: f"({THRESHOLD} * ({n} + {m}) + {99 + THRESHOLD}) DIV {100 + THRESHOLD}"
+    least, size_class = f"({THRESHOLD} * n + 99) DIV 100", f"CAST(floor(ln({{}}) / ln({SIZE_STEP})) AS INT)"
+    rows = sets.mapInArrow(lean(_unrolled), "u long, c long, n long, h long")
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f"), (F.min("c") < F.max("c")).alias("mixed")).filter("f > 1")
+    own = Window.partitionBy("u")
+    rows = rows.join(often, "h").withColumn("p", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("f", "h")) - 1)
+    rows = staged(rows.filter(f"mixed AND p <= n - {least}").select("u", "c", "n", "h", "p"), "minhash-rare")
+    small = rows.filter(f"p <= n - {need('n', 'n')}").withColumn("k", F.expr(size_class.format("n"))).toDF("a", "ca", "n", "h", "p", "k")
+    classes = f"sequence({size_class.format(least)}, {size_class.format('n')})"
+    large = rows.withColumn("k", F.explode(F.expr(classes))).withColumn("low", F.expr(f"greatest({least}, CAST(floor(pow({SIZE_STEP}, k)) AS BIGINT))"))
+    large = large.filter(f"p <= n - {need('low', 'n')}").drop("low").toDF("b", "cb", "m", "h", "q", "k")
+    allowed = f"ca <> cb AND (n < m OR n = m AND a < b) AND p <= n - {need('n', 'm')} AND q <= m - {need('n', 'm')}"
+    return small.join(large, ["h", "k"]).filter(allowed).select("a", "b").distinct()
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -173,19 +211,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     names = named.groupBy("u").agg(F.min("id").alias("id"))
 
     rows = named.select("u", F.explode("bands").alias("bk"))
-    buckets = rows.groupBy("bk").agg(F.min("u").alias("lead"), F.max("u").alias("last")).filter("lead <> last").select("bk", "lead")
+    buckets = rows.groupBy("bk").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).filter("lo <> hi").select("bk")
     shared = staged(rows.join(buckets, "bk").distinct(), "minhash-buckets")
 
-    first = shared.filter("u <> lead").groupBy("u", "lead").agg(F.count(F.lit(1)).alias("n"))
-    first = first.groupBy("u").agg(F.max(F.struct("n", "lead")).alias("best")).select(F.col("u").alias("a"), F.col("best.lead").alias("b"))
-    links = confirmed(docs, staged(plausible(first, named), "minhash-pairs"), names)
-    comps = connected_components(links)
+    sizes = shared.groupBy("bk").agg(F.count(F.lit(1)).alias("w"))
+    crowd = shared.join(sizes, "bk").groupBy("u").agg(F.sum("w").alias("w"))
+    leads = shared.join(crowd, "u").groupBy("bk").agg(F.max(F.struct("w", "u")).alias("lead"))
+    first = shared.join(leads, "bk").filter("u <> lead.u").groupBy("u", "lead").agg(F.count(F.lit(1)).alias("n"))
+    first = first.groupBy("u").agg(F.max(F.struct("n", "lead")).alias("best")).select(F.col("u").alias("a"), F.col("best.lead.u").alias("b"))
+    first = staged(plausible(first, named), "minhash-pairs")
+    ends = first.select(F.col("a").alias("u")).union(first.select("b")).distinct()
+    comps = connected_components(confirmed(first, full_sets(docs, ends.withColumn("c", F.col("u")), names)))
 
     held = shared.join(comps.toDF("u", "c"), "u", "left").select("bk", "u", F.coalesce("c", "u").alias("c"))
     mixed = held.groupBy("bk").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("bk")
-    held = staged(held.join(mixed, "bk", "left_semi"), "minhash-mixed")
-    rest = held.toDF("bk", "a", "ca").join(held.toDF("bk", "b", "cb"), "bk").filter("ca < cb").select("a", "b").distinct()
-    more = staged(confirmed(docs, staged(plausible(rest, named), "minhash-pairs"), names), "minhash-links")
+    sets = full_sets(docs, held.join(mixed, "bk", "left_semi").select("u", "c").distinct(), names)
+    more = staged(confirmed(staged(rare_pairs(sets), "minhash-pairs"), sets), "minhash-links")
     by_unit = comps.toDF("u", "c")
     across = more.join(by_unit.toDF("a", "ca"), "a", "left").join(by_unit.toDF("b", "cb"), "b", "left")
     across = connected_components(across.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
