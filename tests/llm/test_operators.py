@@ -87,6 +87,20 @@ def test_near_duplicates_equal_brute_force(docs, texts):
     assert got == components(texts)
 
 
+def test_crowded_near_copies_equal_brute_force(spark):
+    """Copies of one text with few to many edits: links reach past the original, and many pairs lie just below the threshold."""
+    draw = random.Random(5)
+    first, texts = [f"w{i}" for i in range(150)], {}
+    for i in range(400):
+        words = first[: draw.choice((150, 150, 120))]
+        for _ in range(draw.randint(0, 9)):
+            words[draw.randrange(len(words))] = f"e{draw.randrange(60)}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()}
+    assert got == components(texts)
+
+
 def test_mixing_reaches_its_targets(docs):
     out = mixing.mix(docs, carry=True).select("size", "taken", "target", "source_size", F.col("__own.source").alias("source")).collect()
     by = defaultdict(lambda: [0, 0, 0.0])
