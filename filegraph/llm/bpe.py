@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from filegraph.llm.common import bounded_batches, lean
 from filegraph.llm.pretokens import chunks, compiled
 
-LONG, CACHE, PART = 400, 100_000, 25_000
+LONG, CACHE, PART = 400, 60_000, 6_000
 
 _CONTRACT = """
 WITH RECURSIVE s(w, pos, tok, nx, nn, k) AS (
@@ -61,7 +61,7 @@ class Coder:
         self.words: dict[str, tuple[str, str]] = {}
         self.chunks: dict[object, tuple[str, str]] = {}
         pairs = [(a, b, n) for t, n in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB"})
         table = lambda name, **cols: (self.db.register("given", pa.table(cols)), self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given"))
         table("merges", l=pa.array([x[0] for x in pairs], pa.int32()), r=pa.array([x[1] for x in pairs], pa.int32()), n=pa.array([x[2] for x in pairs], pa.int64()))
         table("tokens", id=pa.array(list(self.ranks.values()), pa.int32()), hex=pa.array([t.hex() for t in self.ranks], pa.string()))

@@ -162,9 +162,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _unrolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for u, c, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            h = np.frombuffer(s, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x, np.int64)) for x in (u, c, len(h))] + [pa.array(h)], names=["u", "c", "n", "h"])
+        sets = b.column("s").to_pylist()
+        sizes = np.fromiter((len(x) // 8 for x in sets), np.int64, len(sets))
+        u, c = (np.repeat(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64), sizes) for i in ("u", "c"))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, c, np.repeat(sizes, sizes), np.frombuffer(b"".join(sets), np.int64))], names=["u", "c", "n", "h"])
 
 
 def rare_pairs(sets: DataFrame) -> DataFrame:
