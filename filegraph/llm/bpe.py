@@ -143,9 +143,9 @@ def coder(path: str, pattern: str) -> Coder:
     return _coders[path, pattern]
 
 
-def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    bounded_batches(docs.sparkSession)
+def report(docs: DataFrame, path: str, pattern: str, batch: str = "2m") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256. Larger Arrow batches save queries of few new words, and take memory."""
+    bounded_batches(docs.sparkSession, size=batch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
