@@ -25,6 +25,8 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_VALUES, CONFIDENT = 2, 3, 0.5
 #: Patterns up to this many are sent to every executor; more are joined by shuffle.
 BROADCAST_PATTERNS = 100_000
+#: Patterns are screened on one in so many texts, by text hash, before the rest are counted in all texts. Exact.
+BLOCKS = 64
 
 # The contract's patterns; possessive where that changes nothing, and not begun inside a run that has just failed.
 _FIND = {
@@ -99,16 +101,25 @@ def _words(docs: DataFrame) -> DataFrame:
     return w.select(F.explode(F.expr("arrays_zip(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)))")).alias("p")).select(F.concat_ws(" ", "p.0", "p.1").alias("l"))
 
 
+def _totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """l, total: how often each of the patterns occurs in the texts."""
+    own = patterns.select("l")
+    hint = F.broadcast(own) if own.count() <= BROADCAST_PATTERNS else own
+    return _words(docs).join(hint, "l", "left_semi").groupBy("l").agg(F.count(F.lit(1)).alias("total"))
+
+
 def bootstrap(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """l (left words), k (kind), score: the high-confidence patterns that the seeds induce."""
     slots = scanned.select(F.explode(F.concat("base", "slots")).alias("x")).select("x.*").filter("l <> ''")
     edges = slots.groupBy("l", "v", "k").agg(F.count(F.lit(1)).alias("n"))
     many = edges.groupBy("l").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_VALUES).select("l")
     edges = staged(edges.join(many, "l", "left_semi"), "pii-edges")
-    many = staged(edges.filter(F.col("k") < len(KINDS)).select("l").distinct(), "pii-patterns")
-    hint = F.broadcast(many) if many.count() <= BROADCAST_PATTERNS else many
-    totals = _words(docs).join(hint, "l", "left_semi").groupBy("l").agg(F.count(F.lit(1)).alias("total"))
-    edges = staged(edges.join(totals, "l"), "pii-graph")
+    many = edges.groupBy("l").agg(F.sum("n").alias("most"), F.max(F.col("k") < len(KINDS)).alias("known")).filter("known").select("l", "most")
+    # No score exceeds most / total, and a part of the corpus bounds the total from below: common word pairs end here.
+    many = staged(many, "pii-patterns")
+    some = _totals(docs.filter(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(BLOCKS)) == 0), many)
+    many = staged(many.join(some, "l", "left").filter(F.coalesce("total", F.lit(0)) * CONFIDENT <= F.col("most")).select("l"), "pii-possible")
+    edges = staged(edges.join(_totals(docs, many), "l"), "pii-graph")
 
     known = edges.filter(F.col("k") < len(KINDS)).select("v", "k", F.lit(1.0).alias("score")).distinct()
     for turn in range(ROUNDS):
@@ -119,7 +130,7 @@ def bootstrap(docs: DataFrame, scanned: DataFrame) -> DataFrame:
             break
         found = edges.filter(F.col("k") == len(KINDS)).select("l", "v").join(patterns, "l")
         found = found.groupBy("v", "k").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("score"))
-        known = known.union(found.select("v", "k", "score"))
+        known = known.union(found.select("v", "k", "score")).groupBy("v", "k").agg(F.max("score").alias("score"))
     best = patterns.groupBy("l").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b"))
     return best.select("l", (-F.col("b.k")).alias("k"), F.col("b.score").alias("score"))
 

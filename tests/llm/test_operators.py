@@ -59,6 +59,58 @@ def test_pii_bootstraps_and_masks(spark):
     assert {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}[30] == "my phone number [PHONE] and then"
 
 
+def plain_bootstrap(texts):
+    """Spans of all texts by the stated rules, over plain lists."""
+    token = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]*[0-9][A-Za-z0-9]*(?:[-./_][A-Za-z0-9]+)*")
+    slots, totals, where = Counter(), Counter(), defaultdict(list)
+    for i, t in texts.items():
+        words = re.split(r"\s+", t.lower())
+        totals.update(map(" ".join, zip(words, words[1:])))
+        taken = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in base_spans(t))]
+        free = [("token", m.start(), m.end()) for m in token.finditer(t) if sum(c.isdigit() for c in m.group()) >= 4 and not any(s < m.end() and m.start() < e for _, s, e in taken)]
+        for k, s, e in taken + free:
+            if left := re.search(r"(\S+)\s+(\S+)\s*$", t[:s].lower()):
+                slots[" ".join(left.groups()), t[s:e].lower(), k] += 1
+                if k == "token":
+                    where[i].append((" ".join(left.groups()), s, e))
+    known, sure = {(v, k): 1.0 for _, v, k in slots if k != "token"}, {}
+    for turn in range(2):
+        got = defaultdict(list)
+        for (x, v, _), n in slots.items():
+            for k in BASE:
+                if (v, k) in known:
+                    got[x, k].append(n * known[v, k])
+        sure = {x: min(1.0, sum(s) / totals[x[0]]) for x, s in got.items() if len(s) >= 3 and sum(s) / totals[x[0]] >= 0.5}
+        if turn == 0:
+            miss = defaultdict(lambda: 1.0)
+            for x, v, k in slots:
+                for c in BASE:
+                    if k == "token" and (x, c) in sure:
+                        miss[v, c] *= 1 - sure[x, c]
+            for x, m in miss.items():
+                known[x] = max(known.get(x, 0.0), 1 - max(m, 1e-9))
+    out = {}
+    for i, t in texts.items():
+        spans = [(list(BASE).index(k), int(s), int(e)) for k, s, e in (x.split(":") for x in base_spans(t))]
+        for x, s, e in where[i]:
+            fits = [(-sure[x, k], list(BASE).index(k)) for k in BASE if (x, k) in sure]
+            spans += [(min(fits)[1], s, e)] if fits else []
+        out[i] = ",".join(f"{list(BASE)[k]}:{s}:{e}" for k, s, e in sorted(spans))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pii_bootstrap_equals_plain_version(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    monkeypatch.setattr(pii, "BLOCKS", 3)  # so that the screen meets some of each pattern
+    phones, mails, ids = [f"+1 (523) 555-{1000 + i}" for i in range(9)], [f"a{i}@b{i}.com" for i in range(9)], [f"id{i}-{4000 + i}" for i in range(9)]
+    slots = {"call me": phones * 2 + ids, "write to": mails * 2 + ids[:5] + ["word"], "id no": ids + ["word"], "of the": ["word"] * 40 + phones + ids}
+    texts = {i: " ".join(f"{x} {rng.choice(slots[x])} then" for x in rng.choices(list(slots), k=rng.randint(0, 6))) for i in range(150)}
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == plain_bootstrap(texts)
+    assert any(got[i] != ",".join(base_spans(t)) for i, t in texts.items())
+
+
 def components(texts):
     sets = {}
     for i, t in texts.items():
