@@ -74,11 +74,12 @@ def plain_bootstrap(texts):
                 if k == "token":
                     where[i].append((" ".join(left.groups()), s, e))
     known, sure = {(v, k): 1.0 for _, v, k in slots if k != "token"}, {}
+    induced = {x for x, _, k in slots if k != "token"}
     for turn in range(2):
         got = defaultdict(list)
         for (x, v, _), n in slots.items():
             for k in BASE:
-                if (v, k) in known:
+                if (v, k) in known and x in induced:
                     got[x, k].append(n * known[v, k])
         sure = {x: min(1.0, sum(s) / totals[x[0]]) for x, s in got.items() if len(s) >= 3 and sum(s) / totals[x[0]] >= 0.5}
         if turn == 0:
@@ -104,7 +105,7 @@ def test_pii_bootstrap_equals_plain_version(spark, monkeypatch, seed):
     rng = random.Random(seed)
     monkeypatch.setattr(pii, "BLOCKS", 3)  # so that the screen meets some of each pattern
     phones, mails, ids = [f"+1 (523) 555-{1000 + i}" for i in range(9)], [f"a{i}@b{i}.com" for i in range(9)], [f"id{i}-{4000 + i}" for i in range(9)]
-    slots = {"call me": phones * 2 + ids, "write to": mails * 2 + ids[:5] + ["word"], "id no": ids + ["word"], "of the": ["word"] * 40 + phones + ids}
+    slots = {"call me": phones * 2 + ids, "write to": mails * 2 + ids[:5] + ["word"], "id no": ids * 3 + phones[:1], "of the": ["word"] * 40 + phones + ids}
     texts = {i: " ".join(f"{x} {rng.choice(slots[x])} then" for x in rng.choices(list(slots), k=rng.randint(0, 6))) for i in range(150)}
     got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == plain_bootstrap(texts)
