@@ -5,7 +5,8 @@ Bootstrapping: the two words to the left of an entity are a lexical pattern. Eve
 or more) in a pattern's slot is an instance. The graph of patterns and instances is scored in rounds: a pattern's score
 is the sum of its instances' scores over all its occurrences in the corpus, whatever follows them; an instance's score
 is the noisy-or of its patterns'. Patterns of MIN_VALUES different known values and a score of CONFIDENT or more are
-high-confidence: whatever identifier-shaped token stands in their slot is a span of the pattern's kind.
+high-confidence: whatever identifier-shaped token stands in their slot is a span of the pattern's kind. What one round
+finds is known in the next, and the rounds go on until no pattern is new and no score rises.
 
 DataFrame and SQL functions only. Positions come from running sums over the pieces between matches, taken in blocks,
 so a text of n matches costs about n steps. Patterns are written so that no text makes them backtrack for long.
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from filegraph.llm.common import staged
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, MIN_VALUES, CONFIDENT = 2, 3, 0.5
+MIN_VALUES, CONFIDENT = 3, 0.5
+#: The rounds end when no pattern is new and no score rises by more.
+RISE = 1e-6
 #: Patterns up to this many are sent to every executor; more are joined by shuffle.
 BROADCAST_PATTERNS = 100_000
 #: Patterns are screened on one in so many texts, by text hash, before the rest are counted in all texts. Exact.
@@ -108,29 +111,43 @@ def _totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return _words(docs).join(hint, "l", "left_semi").groupBy("l").agg(F.count(F.lit(1)).alias("total"))
 
 
+def _patterns(edges: DataFrame) -> DataFrame:
+    """l, k, score: the confident patterns of a graph (l, v, k, n, total), fed back round by round until nothing rises."""
+    known = edges.filter(F.col("k") < len(KINDS)).select("v", "k", F.lit(1.0).alias("score")).distinct()
+    before = None
+    while True:
+        seen = edges.select("l", "v", "n", "total").join(known, "v")
+        patterns = seen.groupBy("l", "k").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("score"), F.countDistinct("v").alias("values"))
+        patterns = staged(patterns.filter((F.col("values") >= MIN_VALUES) & (F.col("score") >= CONFIDENT)).select("l", "k", F.least("score", F.lit(1.0)).alias("score")), "pii-scores")
+        # Values score by their patterns alone, so they rise in the next round only if a pattern is new or rose in this one.
+        old = before.select("l", "k", F.col("score").alias("old")) if before is not None else patterns.select("l", "k", F.lit(0.0).alias("old")).limit(0)
+        if patterns.join(old, ["l", "k"], "left").filter(F.col("score") > F.coalesce("old", F.lit(0.0)) + RISE).isEmpty():
+            return patterns
+        before = patterns
+        found = edges.filter(F.col("k") == len(KINDS)).select("l", "v").join(patterns, "l")
+        found = found.groupBy("v", "k").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("score"))
+        seeds = edges.filter(F.col("k") < len(KINDS)).select("v", "k", F.lit(1.0).alias("score")).distinct()
+        known = staged(seeds.union(found.select("v", "k", "score")).groupBy("v", "k").agg(F.max("score").alias("score")), "pii-known")
+
+
 def bootstrap(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """l (left words), k (kind), score: the high-confidence patterns that the seeds induce."""
+    """l (left words), k (kind), score: the high-confidence patterns that the seeds lead to, through any number of rounds."""
     slots = scanned.select(F.explode(F.concat("base", "slots")).alias("x")).select("x.*").filter("l <> ''")
     edges = slots.groupBy("l", "v", "k").agg(F.count(F.lit(1)).alias("n"))
-    many = edges.groupBy("l").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_VALUES).select("l")
+    many = edges.groupBy("l").agg(F.countDistinct("v").alias("n")).filter(F.col("n") >= MIN_VALUES).select("l")
     edges = staged(edges.join(many, "l", "left_semi"), "pii-edges")
-    many = edges.groupBy("l").agg(F.sum("n").alias("most"), F.max(F.col("k") < len(KINDS)).alias("known")).filter("known").select("l", "most")
+    many = staged(edges.groupBy("l").agg(F.sum("n").alias("most")), "pii-patterns")
     # No score exceeds most / total, and a part of the corpus bounds the total from below: common word pairs end here.
-    many = staged(many, "pii-patterns")
     some = _totals(docs.filter(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(BLOCKS)) == 0), many)
-    many = staged(many.join(some, "l", "left").filter(F.coalesce("total", F.lit(0)) * CONFIDENT <= F.col("most")).select("l"), "pii-possible")
-    edges = staged(edges.join(_totals(docs, many), "l"), "pii-graph")
+    least = many.join(some, "l", "left").select("l", F.greatest(F.coalesce("total", F.lit(0)), F.lit(1)).alias("total"), "most")
+    least = least.filter(F.col("total") * CONFIDENT <= F.col("most")).select("l", "total")
+    # With totals from below all scores come out too high, if anything: what the seeds do not reach so, they never reach.
+    possible = _patterns(staged(edges.join(least, "l"), "pii-possible")).select("l").distinct()
+    return _patterns(staged(edges.join(_totals(docs, possible), "l"), "pii-graph"))
 
-    known = edges.filter(F.col("k") < len(KINDS)).select("v", "k", F.lit(1.0).alias("score")).distinct()
-    for turn in range(ROUNDS):
-        seen = edges.select("l", "v", "n", "total").join(known, "v")
-        patterns = seen.groupBy("l", "k").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("score"), F.count(F.lit(1)).alias("values"))
-        patterns = staged(patterns.filter((F.col("values") >= MIN_VALUES) & (F.col("score") >= CONFIDENT)).select("l", "k", F.least("score", F.lit(1.0)).alias("score")), "pii-scores")
-        if turn == ROUNDS - 1:
-            break
-        found = edges.filter(F.col("k") == len(KINDS)).select("l", "v").join(patterns, "l")
-        found = found.groupBy("v", "k").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("score"))
-        known = known.union(found.select("v", "k", "score")).groupBy("v", "k").agg(F.max("score").alias("score"))
+
+def _best(patterns: DataFrame) -> DataFrame:
+    """l, k, score: the kind of each pattern."""
     best = patterns.groupBy("l").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b"))
     return best.select("l", (-F.col("b.k")).alias("k"), F.col("b.score").alias("score"))
 
@@ -144,7 +161,7 @@ def _joined(spans: str) -> Column:
 def find_spans(docs: DataFrame, carry: bool = False) -> DataFrame:
     """__id, __own, base and added (arrays of k, s, e, v, l): one row for each row of docs."""
     scanned = staged(scan(docs, carry), "pii-scan")
-    patterns = bootstrap(docs, scanned)
+    patterns = _best(bootstrap(docs, scanned))
     slots = scanned.filter(F.size("slots") > 0).select("__row", F.explode("slots").alias("x")).select("__row", "x.*").filter("l <> ''")
     new = slots.drop("k").join(patterns.select("l", "k"), "l").groupBy("__row").agg(F.collect_list(F.struct("k", "s", "e", "v", "l")).alias("added"))
     new = staged(new, "pii-found")
