@@ -2,7 +2,9 @@
 
 Base: e-mail, ip, card and phone matches (leftmost, non-overlapping, checked); they are the seed entities.
 Bootstrapping: the two words to the left of an entity are a lexical pattern. Every identifier-shaped token (four digits
-or more) in a pattern's slot is an instance. The graph of patterns and instances is scored in rounds: a pattern's score
+or more) in a pattern's slot is an instance. So are looser shapes of a kind: grouped digits (four to 19, with blanks and
+brackets) for cards and phones, addresses without a full domain for e-mails. The left words are those of the whole text,
+and opening punctuation before an entity is not one of them. The graph of patterns and instances is scored in rounds: a pattern's score
 is the sum of its instances' scores over all its occurrences in the corpus, whatever follows them; an instance's score
 is the noisy-or of its patterns'. Patterns of MIN_VALUES different known values and a score of CONFIDENT or more are
 high-confidence: whatever identifier-shaped token stands in their slot is a span of the pattern's kind. What one round
@@ -17,7 +19,7 @@ are all returned. Any other columns are ignored (`mask` keeps them). No row: no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filegraph.llm.common import staged
@@ -38,7 +40,14 @@ _FIND = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "token": r"(?<![A-Za-z0-9])[A-Za-z]*+[0-9][A-Za-z0-9]*+(?:[-./_][A-Za-z0-9]++)*+",
+    "group": r"(?<![A-Za-z0-9])\+?+(?:\([0-9]{1,5}\)(?:[\x20()./-]{0,3}+[0-9]){1,14}|[0-9](?:[\x20()./-]{0,3}+[0-9]){3,18})(?![A-Za-z0-9])",
+    "address": r"(?:(?<![\p{L}\p{N}._%+-])|\G)[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+",
 }
+#: The numbers of the shapes that are no kind: a token of any kind, grouped digits of a card or phone, an address of an
+#: e-mail; the last two again where a token begins with them, which is then what counts as the instance.
+TOKEN, GROUP, ADDRESS, GROUP_2, ADDRESS_2 = range(4, 9)
+#: Values and left words longer than this are kept as their digests.
+LONG = 160
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _BLOCK = 64
 
@@ -63,45 +72,72 @@ def _valid(kind: str, m: str) -> str:
         "ip": f"{m} RLIKE {_sql(f'^{_OCTET}(?:[.]{_OCTET}){{3}}$')}",
         "card": _luhn(m),
         "phone": f"{digits} BETWEEN 9 AND 15",
-        "token": f"{digits} >= 4 AND length({m}) <= 64",
+        "token": f"{digits} >= 4",
+        "group": f"{digits} BETWEEN 4 AND 19 AND {m} RLIKE '[ ()]|[-./]{{2}}'",
+        "address": "true",
     }[kind]
 
 
+def _short(text: str) -> str:
+    return f"CASE WHEN length({text}) > {LONG} THEN sha2({text}, 256) ELSE {text} END"
+
+
+def _fits(shape: str, kind: str) -> str:
+    """Whether a slot of this shape can be of this kind."""
+    return f"({shape} = {TOKEN} OR {shape} IN ({GROUP}, {GROUP_2}) AND {kind} IN (2, 3) OR {shape} IN ({ADDRESS}, {ADDRESS_2}) AND {kind} = 0)"
+
+
 def _with_matches(df: DataFrame, kind: str) -> DataFrame:
     """Add column kind: array of (k, s, e, v, l): kind, start, end, text and the two words to the left of each good match."""
-    might = {"email": "instr(__t, '@') > 0", "phone": "instr(__t, '+') > 0"}.get(kind, "__digit")
+    might = {"email": "instr(__t, '@') > 0", "address": "instr(__t, '@') > 0", "phone": "instr(__t, '+') > 0"}.get(kind, "__digit")
     find = _sql(_FIND[kind])
     df = df.withColumn("__m", F.expr(f"CASE WHEN {might} THEN regexp_extract_all(__t, {find}, 0) END"))
     df = df.withColumn("__g", F.expr(f"CASE WHEN size(__m) > 0 THEN split(__t, {find}, -1) END"))
-    df = df.withColumn("__n", F.expr("CASE WHEN size(__m) > 0 THEN zip_with(__g, __m, (g, m) -> CAST(length(g) + coalesce(length(m), 0) AS BIGINT)) END"))
+
+    # Characters and, in the lower half, runs of blanks: the latter number the word of __w in which a match begins.
+    def length(x: str) -> str:
+        return f"shiftleft(CAST(length({x}) AS BIGINT), 32) + regexp_count({x}, '\\\\s+')"
+
+    df = df.withColumn("__n", F.expr(f"CASE WHEN size(__m) > 0 THEN zip_with(__g, __m, (g, m) -> {length('g')} + coalesce({length('m')}, 0L)) END"))
     df = df.withColumn("__b", F.expr(f"transform(sequence(0, (size(__n) - 1) DIV {_BLOCK}), b -> aggregate(slice(__n, CAST(b * {_BLOCK} + 1 AS INT), {_BLOCK}), 0L, (x, y) -> x + y))"))
     df = df.withColumn("__p", F.expr("transform(__b, (x, b) -> aggregate(slice(__b, 1, b), 0L, (x, y) -> x + y))"))
-    at = f"__p[i DIV {_BLOCK}] + aggregate(slice(__n, CAST((i DIV {_BLOCK}) * {_BLOCK} + 1 AS INT), i % {_BLOCK}), 0L, (x, y) -> x + y) + length(__g[i])"
+    at = f"__p[i DIV {_BLOCK}] + aggregate(slice(__n, CAST((i DIV {_BLOCK}) * {_BLOCK} + 1 AS INT), i % {_BLOCK}), 0L, (x, y) -> x + y) + {length('__g[i]')}"
     df = df.withColumn("__s", F.expr(f"transform(__m, (m, i) -> {at})"))
-    left = r"regexp_extract(lower(substring(__g[i], -80, 80)), '([^\\s]+)\\s+([^\\s]+)\\s*$', 0)"
-    each = f"named_struct('k', {KINDS.index(kind) if kind in KINDS else len(KINDS)}, 's', __s[i], 'e', __s[i] + length(m), 'v', lower(m), 'l', trim(regexp_replace({left}, '\\\\s+', ' ')))"
+    # Opening punctuation belongs to the match; what else the match is joined to is the second word of its context.
+    df = df.withColumn("__l", F.expr(
+        "transform(transform(__s, (x, i) -> named_struct('w', CAST(x & 4294967295L AS INT), 'm', regexp_extract(lower(__m[i]), '^[^\\\\s]+', 0))), "
+        "x -> transform(array(substring_index(get(__w, x.w), x.m, 1)), p -> CASE WHEN p RLIKE '^\\\\p{Punct}*$' "
+        "THEN concat(nullif(get(__w, x.w - 2), ''), ' ', get(__w, x.w - 1)) ELSE concat(nullif(get(__w, x.w - 1), ''), ' ', p) END)[0])"
+    ))
+    k = str((*KINDS, "token", "group", "address").index(kind))
+    if kind in ("group", "address"):
+        first = f"regexp_extract(m, {_sql('^[(+]?+(' + _FIND['token'].split(')', 1)[1] + ')')}, 1)"
+        k = f"CASE WHEN {_valid('token', first)} THEN {int(k) + 2} ELSE {k} END"
+    s = "CAST(shiftright(__s[i], 32) AS BIGINT)"
+    each = f"named_struct('k', {k}, 's', {s}, 'e', {s} + length(m), 'v', {_short('lower(m)')}, 'l', coalesce({_short('__l[i]')}, ''))"
     good = f"filter(transform(__m, (m, i) -> CASE WHEN {_valid(kind, 'm')} THEN {each} END), x -> x IS NOT NULL)"
     empty = "CAST(array() AS ARRAY<STRUCT<k: INT, s: BIGINT, e: BIGINT, v: STRING, l: STRING>>)"
     df = df.withColumn(kind, F.expr(f"coalesce(CASE WHEN size(__m) > 0 THEN {good} END, {empty})"))
-    return df.drop("__m", "__g", "__n", "__b", "__p", "__s")
+    return df.drop("__m", "__g", "__n", "__b", "__p", "__s", "__l")
 
 
 def scan(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """__id, __own (all columns of docs, if carried), base (checked spans), slots (identifier-shaped tokens outside them)."""
+    """__id, __own (all columns of docs, if carried), base (checked spans), slots (what has the shape of an identifier outside them)."""
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("string")
     df = docs.select(F.col("doc_id").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__t"), own.alias("__own"))
     df = df.withColumn("__digit", F.col("__t").rlike("[0-9]"))
+    df = df.withColumn("__w", F.expr("CASE WHEN __digit OR instr(__t, '@') > 0 THEN split(lower(__t), '\\\\s+', -1) END"))
     for kind in _FIND:
         df = _with_matches(df, kind)
     df = df.withColumn("base", F.concat(*KINDS))
-    apart = F.expr("filter(token, x -> NOT exists(base, b -> b.s < x.e AND x.s < b.e))")
+    apart = F.expr("filter(concat(token, `group`, address), x -> NOT exists(base, b -> b.s < x.e AND x.s < b.e))")
     return df.select("__id", "__own", "base", apart.alias("slots"), F.monotonically_increasing_id().alias("__row"))
 
 
 def _words(docs: DataFrame) -> DataFrame:
     """Each pair of words that follow one another in a text, in lower case."""
     w = docs.select(F.split(F.lower(F.col("text").cast("string")), r"\s+").alias("w"))
-    return w.select(F.explode(F.expr("arrays_zip(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)))")).alias("p")).select(F.concat_ws(" ", "p.0", "p.1").alias("l"))
+    return w.select(F.explode(F.expr("arrays_zip(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)))")).alias("p")).select(F.concat_ws(" ", "p.0", "p.1").alias("l")).select(F.expr(_short("l")).alias("l"))
 
 
 def _totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -124,7 +160,7 @@ def _patterns(edges: DataFrame) -> DataFrame:
         if patterns.join(old, ["l", "k"], "left").filter(F.col("score") > F.coalesce("old", F.lit(0.0)) + RISE).isEmpty():
             return patterns
         before = patterns
-        found = edges.filter(F.col("k") == len(KINDS)).select("l", "v").join(patterns, "l")
+        found = edges.filter(F.col("k") >= TOKEN).select("l", "v", F.col("k").alias("shape")).join(patterns, "l").filter(_fits("shape", "k"))
         found = found.groupBy("v", "k").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("score"))
         seeds = edges.filter(F.col("k") < len(KINDS)).select("v", "k", F.lit(1.0).alias("score")).distinct()
         known = staged(seeds.union(found.select("v", "k", "score")).groupBy("v", "k").agg(F.max("score").alias("score")), "pii-known")
@@ -132,7 +168,7 @@ def _patterns(edges: DataFrame) -> DataFrame:
 
 def bootstrap(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """l (left words), k (kind), score: the high-confidence patterns that the seeds lead to, through any number of rounds."""
-    slots = scanned.select(F.explode(F.concat("base", "slots")).alias("x")).select("x.*").filter("l <> ''")
+    slots = scanned.select(F.explode(F.concat("base", "slots")).alias("x")).select("x.*").filter(f"l <> '' AND k < {GROUP_2}")
     edges = slots.groupBy("l", "v", "k").agg(F.count(F.lit(1)).alias("n"))
     many = edges.groupBy("l").agg(F.countDistinct("v").alias("n")).filter(F.col("n") >= MIN_VALUES).select("l")
     edges = staged(edges.join(many, "l", "left_semi"), "pii-edges")
@@ -146,12 +182,6 @@ def bootstrap(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     return _patterns(staged(edges.join(_totals(docs, possible), "l"), "pii-graph"))
 
 
-def _best(patterns: DataFrame) -> DataFrame:
-    """l, k, score: the kind of each pattern."""
-    best = patterns.groupBy("l").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b"))
-    return best.select("l", (-F.col("b.k")).alias("k"), F.col("b.score").alias("score"))
-
-
 def _joined(spans: str) -> Column:
     ordered = F.expr(f"array_sort(transform({spans}, x -> struct(x.k AS k, x.s AS s, x.e AS e)))")
     names = F.array(*map(F.lit, KINDS))
@@ -161,9 +191,14 @@ def _joined(spans: str) -> Column:
 def find_spans(docs: DataFrame, carry: bool = False) -> DataFrame:
     """__id, __own, base and added (arrays of k, s, e, v, l): one row for each row of docs."""
     scanned = staged(scan(docs, carry), "pii-scan")
-    patterns = _best(bootstrap(docs, scanned))
+    patterns = bootstrap(docs, scanned)
     slots = scanned.filter(F.size("slots") > 0).select("__row", F.explode("slots").alias("x")).select("__row", "x.*").filter("l <> ''")
-    new = slots.drop("k").join(patterns.select("l", "k"), "l").groupBy("__row").agg(F.collect_list(F.struct("k", "s", "e", "v", "l")).alias("added"))
+    # Each slot takes its best kind; what lies within another found span is part of it.
+    new = slots.withColumnRenamed("k", "shape").join(patterns, "l").filter(_fits("shape", "k"))
+    new = new.groupBy("__row", "s", "e", "v", "l").agg((-F.max(F.struct("score", (-F.col("k")).alias("k")))["k"]).alias("k"))
+    before = Window.partitionBy("__row").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
+    new = new.withColumn("reach", F.max("e").over(before)).filter("reach IS NULL OR e > reach")
+    new = new.groupBy("__row").agg(F.collect_list(F.struct("k", "s", "e", "v", "l")).alias("added"))
     new = staged(new, "pii-found")
     none = F.expr("CAST(array() AS ARRAY<STRUCT<k: INT, s: BIGINT, e: BIGINT, v: STRING, l: STRING>>)")
     return scanned.join(new, "__row", "left").select("__id", "__own", "base", F.coalesce("added", none).alias("added"))

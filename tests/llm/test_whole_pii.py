@@ -24,3 +24,22 @@ def test_discovered_values_induce_patterns_to_the_fixpoint(spark):
         start = len(" ".join(t.split()[:2])) + 1
         assert got[i] == f"phone:{start}:{start + len(t.split()[2])}", t
     assert got[len(texts) - 1] == ""
+
+
+def test_slots_take_left_words_of_the_whole_text_and_looser_shapes(spark):
+    far = "see " * 40 + "x" * 90
+    cases = {
+        "phone": [("box 66 phone ", "5551234"), ("at 12345, phone ", "5551234"), (f"{far} phone ", "id77-4001"), ("from 66 phone ", "(523) 555-1055"), ("to 66 phone ", "523 555 1055"), ("or 66 phone (", "5551234")],
+        "email": [("box 66 mail ", "bob@localhost"), ("box 66 mail <", "bob1234@intern")],
+    }
+    texts, want = [], []
+    for kind, rows in cases.items():
+        for left, value in rows:
+            two = left.rstrip("(<")
+            seeds = [f"+1 (523) 555-{1000 + i}" if kind == "phone" else f"a{i}@b{i}.com" for i in range(6)]
+            texts += [two + x + " ok" for x in seeds]
+            want += [None] * 6
+            texts.append(left + value + " then 523 555 1055 bob@localhost")
+            want.append(f"{kind}:{len(left)}:{len(left) + len(value)}")
+    got = spans(spark, texts)
+    assert [(t, got[i]) for i, t in enumerate(texts) if want[i]] == [(t, w) for t, w in zip(texts, want, strict=True) if w]
