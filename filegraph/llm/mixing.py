@@ -3,11 +3,14 @@
 Slot j of the schedule sits at the golden-ratio point frac((j + 1/2) * (sqrt(5) - 1) / 2). Cumulative target shares cut
 the unit interval among the sources; a point falls to one source, so every stretch of the schedule holds the sources in
 about their shares. Slots are ranked per source, and the source's slot r takes its block r. A source's blocks are equal
-runs of BLOCK words of its documents, laid end to end in hash order and repeated up to the cap. A source's last block
-ends at its target, and a closing slot after the schedule takes what its slots left short.
+runs of BLOCK words of its documents, laid end to end in hash order and repeated up to the cap. The schedule is
+as long as the whole blocks of every target need; slots of a source past its target are void. What then remains of a
+target, less than one block, is taken by one closing slot of its source after the schedule. A row is taken as far as
+slots hold its words.
 
 Ranks and running sums are taken in two levels (within buckets, then over buckets), so that a source with most rows is
-never gathered in one task. DataFrame and SQL functions only. Slots number one for BLOCK words of input.
+never gathered in one task. DataFrame and SQL functions only. The schedule starts with one slot for BLOCK words of input
+and doubles until it is long enough.
 
 Targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share all words; a target stops at CAP times
 the source's own words and the excess is shared again by weight until none is above.
@@ -88,29 +91,46 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     return points.select("slot", "source", (F.col("rank") + F.col("base")).alias("block"))
 
 
+def dealt(sources: DataFrame, words: int, block: int) -> DataFrame:
+    """slot, source, block: the slots that the schedule gives each source up to its target, and the closing slots."""
+    ends = sources.select("source", F.floor("target").alias("end")).filter("end > 0").withColumn("full", F.floor(F.col("end") / block))
+    own = ends.select(F.col("source").alias("s2"), "full")
+    need, n = ends.agg(F.sum("full")).first()[0] or 0, max(1, words // block)
+    while True:
+        slots = schedule(sources, n).join(own, F.col("source").eqNullSafe(F.col("s2"))).filter("block < full").select("slot", "source", "block")
+        slots = staged(slots, "mix-slots")
+        if slots.count() >= need:
+            break
+        n *= 2
+    order = Window.orderBy(F.col("source").asc_nulls_last())
+    closing = ends.filter(F.col("end") > F.col("full") * block).select((F.row_number().over(order) - 1 + n).cast("long").alias("slot"), "source", F.col("full").alias("block"))
+    return slots.unionByName(closing)
+
+
 def mix(docs: DataFrame, carry: bool = False, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words the mix takes of the row), __own (the row, if carried)."""
+    """doc_id, size, source_size, target, taken (words the mix takes of the row), first_slot, slots (the first of each time), __own (the row, if carried)."""
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("string")
     cols = [F.col("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row"), own.alias("__own")]
     sizes = staged(docs.select(*cols), "mix-sizes")
     sources = staged(targets(sizes.select("source", "size")), "mix-sources")
     words = sources.agg(F.sum("source_size")).first()[0] or 0
-    slots = schedule(sources, words // block)
+    slots = dealt(sources, words, block)
 
     # The words of a row that its source's run up to the target holds, by pass over the run and by block.
     end = F.floor("target")
     placed = staged(_placed(sizes.drop("__own"), sources), "mix-placed")
     parts = placed.filter("size > 0").select("row", "source", "size", end.alias("end"), F.explode(F.sequence(F.lit(0), F.lit(CAP - 1))).alias("pass"), "start", "source_size")
     parts = parts.withColumn("lo", F.col("pass") * F.col("source_size") + F.col("start")).withColumn("hi", F.least(F.col("lo") + F.col("size"), "end")).filter("hi > lo")
-    parts = parts.select("row", "source", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))).alias("block"))
+    parts = parts.select("row", "source", "pass", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))).alias("block"))
     parts = parts.withColumn("words", F.least("hi", (F.col("block") + 1) * block) - F.greatest("lo", F.col("block") * block))
-    # A block that no slot of the schedule reaches belongs to the source's closing slot, which ends at the target.
-    taken = parts.join(slots.select(F.col("source").alias("s2"), F.col("block").alias("b2"), "slot"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")), "left")
-    taken = taken.groupBy("row").agg(F.sum("words").alias("taken"), F.min(F.coalesce("slot", F.lit(words // block).cast("long"))).alias("first_slot"))
+    # The words of a block are taken by its slot alone.
+    held = parts.join(slots.select(F.col("source").alias("s2"), F.col("block").alias("b2"), "slot"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")))
+    held = held.groupBy("row", "pass").agg(F.sum("words").alias("taken"), F.min("slot").alias("slot"))
+    taken = held.groupBy("row").agg(F.sum("taken").alias("taken"), F.min("slot").alias("first_slot"), F.sort_array(F.collect_list("slot")).alias("slots"))
     out = placed.join(taken, "row", "left")
     if carry:
         out = out.join(sizes.select("row", "__own"), "row")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", *["__own"] * carry)
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", *["slots", "__own"] * carry)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -118,7 +138,6 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def emit(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: a row appears once for each time that any of its words are taken, whole each time."""
-    times = F.expr("sequence(1, CAST(ceil(taken / size) AS INT))")
-    rows = mix(docs, carry=True).filter("taken > 0").select("__own", F.explode(times))
+    """docs as the mix takes them, in the order of the slots: a row appears once for each time that any of its words are taken, whole each time."""
+    rows = mix(docs, carry=True).filter("taken > 0").select("__own", F.explode("slots").alias("slot")).orderBy("slot")
     return rows.select(*[F.col(f"__own.`{c}`").alias(c) for c in docs.columns])
