@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ROW = "__source_row"
+NORMALIZERS, TYPES = ("raw", "trim_lower", "fhir_canonical"), ("string", "integer", "float", "boolean")
 
 
 class SpecError(ValueError):

@@ -45,6 +45,9 @@ class GraphSchema:
     def targets(self, label: str, rel: str) -> list[str]:
         return sorted({t for s, r, t in self.links if s == label and r == rel})
 
+    def origins(self, label: str, rel: str) -> list[str]:
+        return sorted({s for s, r, t in self.links if t in (label, "Resource") and r == rel})
+
     def complete(self, label: str, prefix: str) -> list[str]:
         return [r for r in dict.fromkeys(self.outgoing(label) + self.incoming(label)) if r.startswith(prefix)]
 
@@ -102,16 +105,37 @@ def vertex_id(label: str, ident: Column, line: Column) -> Column:
     return F.when(F.instr(raw, "/") > 0, raw).otherwise(F.concat(F.lit(f"{label}/"), raw))
 
 
+def _typed(value: Column, kind: str) -> Column:
+    """A variant as a promoted kind. Text takes strings, numbers and booleans; other kinds take values of their own kind only; json takes all."""
+    if kind == "json":
+        return F.to_json(value)
+    found = F.schema_of_variant(value)
+    number = found.startswith("DECIMAL") | found.isin("BIGINT", "DOUBLE", "FLOAT")
+    fits = {"bigint": found == "BIGINT", "double": number, "boolean": found == "BOOLEAN", "string": number | found.isin("STRING", "BOOLEAN")}[kind]
+    return F.when(fits, F.try_variant_get(value, "$", kind))
+
+
 def typed_vertices(lines: DataFrame, schema: GraphSchema, label: str) -> DataFrame:
-    """id, label, payload and the promoted columns from rows (value: JSON text, n: line number). Wrong types give NULL."""
-    df = lines.select("value", "n")
-    path = lambda p: F.get_json_object("value", "$." + p)
-    cols = []
-    for name, (p, kind) in schema.promoted(label).items():
-        v = path(p)
-        typed = v if kind in ("json", "string") else F.when(v.isin("true", "false"), v == "true") if kind == "boolean" else v.try_cast(kind)
-        cols.append(typed.alias(name))
-    return df.select(vertex_id(label, path("id"), F.col("n")).alias("id"), F.lit(label).alias("label"), F.lit("json").alias("payload_codec"), F.col("value").cast("binary").alias("payload_json_bin"), *cols)
+    """id, label, payload and the promoted columns from rows (value: JSON text, n: line number), parsed once. Wrong types give NULL."""
+    df = lines.select("value", "n", F.parse_json("value").alias("v"))
+    path = lambda p: F.try_variant_get("v", "$" + "".join(f"['{x}']" for x in p.split(".")), "variant")
+    cols = [_typed(path(p), kind).alias(name) for name, (p, kind) in schema.promoted(label).items()]
+    return df.select(vertex_id(label, _typed(path("id"), "string"), F.col("n")).alias("id"), F.lit(label).alias("label"), F.lit("json").alias("payload_codec"), F.col("value").cast("binary").alias("payload_json_bin"), *cols)
+
+
+def shredded(lines: DataFrame, schema: GraphSchema, label: str) -> DataFrame:
+    """id, label and every property as a typed column (structs and lists kept whole), from one parse of each line.
+
+    Values of another kind than the schema's are NULL, and a missing struct is a struct of NULLs.
+    """
+    kind = schema.struct(label)
+    df = lines.select("value", "n", F.from_json("value", kind).alias("s"))
+
+    def whole(value: Column, t: T.DataType) -> Column:
+        return F.struct(*[whole(value[f.name], f.dataType).alias(f.name) for f in t.fields]) if isinstance(t, T.StructType) else value
+
+    own = [whole(F.col("s")[f.name], f.dataType).alias(f.name) for f in kind.fields if f.name != "id"]
+    return df.select(vertex_id(label, F.get_json_object("value", "$.id"), F.col("n")).alias("id"), F.lit(label).alias("label"), *own)
 
 
 def _reference_paths(kind: T.DataType, path: str, arrays: int = 0) -> list[tuple[str, str]]:
@@ -133,21 +157,23 @@ def canonical_reference(ref: Column) -> Column:
 
 
 def reference_edges(lines: DataFrame, schema: GraphSchema, label: str) -> DataFrame:
-    """Edges ref:<path> from each object with a reference, wherever the schema has one; ids from line and ordinal."""
+    """Edges ref:<path> from each object with a reference, wherever the schema has one; ids from label, file, line, path and place."""
     paths = _reference_paths(schema.struct(label), "")
-    own = vertex_id(label, F.get_json_object("value", "$.id"), F.col("n"))
     if not paths:
         return lines.limit(0).select(*[F.lit("").alias(c) for c in ("id", "from_id", "to_id", "label", "props")])
-    parts = None
-    for k, (p, r) in enumerate(paths):
-        text = F.get_json_object("value", "$." + r)
+    file = F.regexp_replace("file", "^.*/", "") if "file" in lines.columns else F.lit(None).cast("string")
+    df = lines.select("n", file.alias("file"), vertex_id(label, F.get_json_object("value", "$.id"), F.col("n")).alias("from_id"), "value")
+
+    def found(k: int, p: str, r: str) -> Column:
+        text, name = F.get_json_object("value", "$." + r), p.replace("[*]", "")
         values = F.when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(F.array(text)) if "[*]" in r else F.array(text)
-        df = lines.select("n", own.alias("from_id"), F.posexplode(values).alias("pos", "reference")).filter("reference IS NOT NULL")
-        df = df.select("n", "from_id", F.lit(p.replace("[*]", "")).alias("path"), "reference", (F.lit(k) * 1_000_000 + F.col("pos")).alias("ord"))
-        parts = df if parts is None else parts.unionByName(df)
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("pos"), F.lit(name).alias("path"), x.alias("reference")))
+
+    each = [found(k, p, r) for k, (p, r) in enumerate(paths)]
+    df = df.select("n", "file", "from_id", F.explode(F.concat(*each)).alias("r")).select("n", "file", "from_id", "r.*").filter("reference IS NOT NULL")
     to = canonical_reference(F.col("reference"))
-    return parts.filter(to != "").select(
-        F.concat_ws("-", F.lit("eref"), "n", "ord").alias("id"), "from_id", to.alias("to_id"), F.concat(F.lit("ref:"), "path").alias("label"),
+    return df.filter(to != "").select(
+        F.concat_ws("-", F.lit("eref"), F.lit(label), "file", "n", "k", "pos").alias("id"), "from_id", to.alias("to_id"), F.concat(F.lit("ref:"), "path").alias("label"),
         F.to_json(F.struct("path", "reference")).alias("props"),
     )
 
@@ -155,7 +181,7 @@ def reference_edges(lines: DataFrame, schema: GraphSchema, label: str) -> DataFr
 def ndjson_lines(spark: SparkSession, path: str) -> DataFrame:
     from filegraph.sources.readers import numbered_lines
 
-    return numbered_lines(spark, path).filter(F.trim("line") != "").select(F.col("line").alias("value"), "n")
+    return numbered_lines(spark, path).filter(F.trim("line") != "").select(F.col("line").alias("value"), "n", "file")
 
 
 def check_steps(schema: GraphSchema, steps: list[dict]) -> dict:
@@ -178,8 +204,8 @@ def check_steps(schema: GraphSchema, steps: list[dict]) -> dict:
     return {"valid": True, "labels": sorted(active)}
 
 
-def rewrite(schema: GraphSchema, steps: list[dict]) -> list[dict]:
-    """Field paths in has and render give way to promoted columns of the active label; a query without render shows id and label."""
+def rewrite(schema: GraphSchema, steps: list[dict], defaults: bool = True) -> list[dict]:
+    """Field paths in has and render give way to promoted columns of the active label; by default a query without render shows id and label."""
     out, label = [], None
     for step in steps:
         step = dict(step)
@@ -195,4 +221,4 @@ def rewrite(schema: GraphSchema, steps: list[dict]) -> list[dict]:
         if step["op"] == "render":
             step["fields"] = [swap(f) for f in step.get("fields", [])]
         out.append(step)
-    return out if any(s["op"] in ("render", "count") for s in out) else [*out, {"op": "render", "fields": ["id", "label"]}]
+    return out if not defaults or any(s["op"] in ("render", "count") for s in out) else [*out, {"op": "render", "fields": ["id", "label"]}]

@@ -14,9 +14,10 @@ ROLES = {
     "sample_id": ("Specimen.id", 0.99), "specimen_id": ("Specimen.id", 0.99), "tumor_sample_barcode": ("Specimen.reference", 0.99),
     "hugo_symbol": ("Gene.symbol", 0.95), "gene": ("Gene.symbol", 0.95), "gene_symbol": ("Gene.symbol", 0.95),
     "chromosome": ("Variant.chromosome", 0.94), "chrom": ("Variant.chromosome", 0.94),
-    "start_position": ("Variant.start", 0.9), "end_position": ("Variant.end", 0.9),
-    "reference_allele": ("Variant.reference_allele", 0.9), "tumor_seq_allele2": ("Variant.alternate_allele", 0.9),
-    "stable_id": ("CaseList.id", 0.85), "case_list_ids": ("CaseList.samples", 0.85),
+    "start_position": ("Variant.start", 0.9), "pos": ("Variant.start", 0.9), "position": ("Variant.start", 0.9), "end_position": ("Variant.end", 0.9),
+    "reference_allele": ("Variant.reference_allele", 0.9), "ref": ("Variant.reference_allele", 0.9),
+    "tumor_seq_allele2": ("Variant.alternate_allele", 0.9), "alt": ("Variant.alternate_allele", 0.9), "alternate_allele": ("Variant.alternate_allele", 0.9),
+    "stable_id": ("CaseList.id", 0.85), "sample_id_list": ("CaseList.samples", 0.85), "case_list_ids": ("CaseList.samples", 0.85),
 }
 
 
