@@ -28,10 +28,9 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_VALUES, CONFIDENT = 3, 0.5
 #: The rounds end when no pattern is new and no score rises by more.
 RISE = 1e-6
-#: Patterns up to this many are sent to every executor; more are joined by shuffle.
-BROADCAST_PATTERNS = 100_000
-#: Patterns are screened on one in so many texts, by text hash, before the rest are counted in all texts. Exact.
-BLOCKS = 64
+#: Patterns up to this many are constants of the plan that counts them; up to BROADCAST_PATTERNS are sent to every
+#: executor; more are joined by shuffle. The counts are the same.
+IN_PLAN, BROADCAST_PATTERNS = 2_000, 100_000
 
 # The contract's patterns; possessive where that changes nothing, and not begun inside a run that has just failed.
 _FIND = {
@@ -49,7 +48,7 @@ TOKEN, GROUP, ADDRESS, GROUP_2, ADDRESS_2 = range(4, 9)
 #: Values and left words longer than this are kept as their digests.
 LONG = 160
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-_BLOCK = 64
+_BLOCK, _PIECE = 64, 4096
 
 
 def _sql(text: str) -> str:
@@ -121,6 +120,12 @@ def _with_matches(df: DataFrame, kind: str) -> DataFrame:
     return df.drop("__m", "__g", "__n", "__b", "__p", "__s", "__l")
 
 
+def _running(df: DataFrame, name: str, of: str, two: str) -> DataFrame:
+    """Each element of an array gives way to the largest (or least) of those before it, null at first: block maxima, then within the block."""
+    df = df.withColumn("__k", F.expr(f"transform(sequence(0, size({name}) DIV {_BLOCK}), b -> {of}(slice({name}, b * {_BLOCK} + 1, {_BLOCK})))"))
+    return df.withColumn(name, F.expr(f"transform({name}, (x, i) -> {two}({of}(slice(__k, 1, i DIV {_BLOCK})), {of}(slice({name}, (i DIV {_BLOCK}) * {_BLOCK} + 1, i % {_BLOCK}))))")).drop("__k")
+
+
 def scan(docs: DataFrame, carry: bool = False) -> DataFrame:
     """__id, __own (all columns of docs, if carried), base (checked spans), slots (what has the shape of an identifier outside them)."""
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("string")
@@ -130,21 +135,38 @@ def scan(docs: DataFrame, carry: bool = False) -> DataFrame:
     for kind in _FIND:
         df = _with_matches(df, kind)
     df = df.withColumn("base", F.concat(*KINDS))
-    apart = F.expr("filter(concat(token, `group`, address), x -> NOT exists(base, b -> b.s < x.e AND x.s < b.e))")
+    # In order of their starts, base spans first: a slot is apart if no base span before it reaches into it and none starts in it.
+    df = df.withColumn("__x", F.expr("array_sort(concat(transform(base, x -> struct(x.s AS s, 0 AS f, x AS x)), transform(concat(token, `group`, address), x -> struct(x.s AS s, 1 AS f, x AS x))))"))
+    df = df.withColumn("__u", F.expr("transform(__x, x -> CASE WHEN x.f = 0 THEN x.x.e END)"))
+    df = df.withColumn("__v", F.expr("reverse(transform(__x, x -> CASE WHEN x.f = 0 THEN x.s END))"))
+    df = _running(_running(df, "__u", "array_max", "greatest"), "__v", "array_min", "least")
+    apart = F.expr("transform(filter(transform(__x, (x, i) -> struct(x.f AS f, x.x AS x, __u[i] AS u, __v[size(__x) - 1 - i] AS v)), y -> y.f = 1 AND coalesce(y.u <= y.x.s, true) AND coalesce(y.v >= y.x.e, true)), y -> y.x)")
     return df.select("__id", "__own", "base", apart.alias("slots"), F.monotonically_increasing_id().alias("__row"))
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    """Each pair of words that follow one another in a text, in lower case."""
-    w = docs.select(F.split(F.lower(F.col("text").cast("string")), r"\s+").alias("w"))
-    return w.select(F.explode(F.expr("arrays_zip(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)))")).alias("p")).select(F.concat_ws(" ", "p.0", "p.1").alias("l")).select(F.expr(_short("l")).alias("l"))
+def _pair(word: str) -> str:
+    """SQL: a word with the one before it, as left words are kept."""
+    return _short(f"concat(get(w, i - 1), ' ', {word})")
 
 
 def _totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """l, total: how often each of the patterns occurs in the texts."""
-    own = patterns.select("l")
-    hint = F.broadcast(own) if own.count() <= BROADCAST_PATTERNS else own
-    return _words(docs).join(hint, "l", "left_semi").groupBy("l").agg(F.count(F.lit(1)).alias("total"))
+    """l, total: how often each of the patterns, any two words that follow one another, occurs in the texts.
+
+    Up to IN_PLAN patterns are looked up inside each text, which then has one row for each of them that it holds. More
+    are joined with all pairs of words, by broadcast or by shuffle as their measured number says.
+    """
+    own = patterns.select("l").distinct()
+    w = docs.select(F.split(F.lower(F.col("text").cast("string")), r"\s+").alias("w"))
+    few = [r["l"] for r in own.limit(IN_PLAN + 1).collect()]
+    if len(few) > IN_PLAN:
+        pairs = w.select(F.explode(F.expr(f"slice(transform(w, (x, i) -> {_pair('x')}), 2, size(w))")).alias("l"))
+        return pairs.join(F.broadcast(own) if own.count() <= BROADCAST_PATTERNS else own, "l", "left_semi").groupBy("l").agg(F.count(F.lit(1)).alias("total"))
+    listed = lambda names: ", ".join(map(_sql, sorted(names))) or "''"
+    # The second word alone rules out most pairs; a digest (it has no blank) stands for words longer than LONG together.
+    might = f"x IN ({listed({p.split(' ', 1)[1] for p in few if ' ' in p})}) OR length(x) + length(get(w, i - 1)) >= {LONG}"
+    held = w.select(F.expr(f"filter(transform(w, (x, i) -> CASE WHEN {might} THEN {_pair('x')} END), p -> p IN ({listed(few)}))").alias("m"))
+    each = F.explode(F.expr("transform(array_distinct(m), p -> named_struct('l', p, 'n', size(filter(m, y -> y = p))))"))
+    return held.select(each.alias("x")).groupBy("x.l").agg(F.sum("x.n").alias("total"))
 
 
 def _patterns(edges: DataFrame) -> DataFrame:
@@ -172,12 +194,9 @@ def bootstrap(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     edges = slots.groupBy("l", "v", "k").agg(F.count(F.lit(1)).alias("n"))
     many = edges.groupBy("l").agg(F.countDistinct("v").alias("n")).filter(F.col("n") >= MIN_VALUES).select("l")
     edges = staged(edges.join(many, "l", "left_semi"), "pii-edges")
-    many = staged(edges.groupBy("l").agg(F.sum("n").alias("most")), "pii-patterns")
-    # No score exceeds most / total, and a part of the corpus bounds the total from below: common word pairs end here.
-    some = _totals(docs.filter(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(BLOCKS)) == 0), many)
-    least = many.join(some, "l", "left").select("l", F.greatest(F.coalesce("total", F.lit(0)), F.lit(1)).alias("total"), "most")
-    least = least.filter(F.col("total") * CONFIDENT <= F.col("most")).select("l", "total")
-    # With totals from below all scores come out too high, if anything: what the seeds do not reach so, they never reach.
+    # A pattern occurs at least as often as something stands in its slot. With these totals all scores come out too high,
+    # if anything: what the seeds do not reach so, they never reach, and only what they may reach is counted.
+    least = staged(edges.groupBy("l").agg(F.sum("n").alias("total")), "pii-least")
     possible = _patterns(staged(edges.join(least, "l"), "pii-possible")).select("l").distinct()
     return _patterns(staged(edges.join(_totals(docs, possible), "l"), "pii-graph"))
 
@@ -218,11 +237,15 @@ def mask(docs: DataFrame) -> DataFrame:
     """docs with each span in text replaced by its kind in brackets; a null text stays null. All columns and rows stay."""
     found = find_spans(docs, carry=True)
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    hidden = (
-        "aggregate(array_sort(transform(concat(base, added), x -> struct(x.s AS s, x.e AS e, x.k AS k))), struct(0L AS p, '' AS o), "
-        "(a, x) -> CASE WHEN x.e <= a.p THEN a WHEN x.s < a.p THEN struct(x.e AS p, a.o AS o) "
-        f"ELSE struct(x.e AS p, concat(a.o, substring(__own.text, CAST(a.p + 1 AS INT), CAST(x.s - a.p AS INT)), {names}[x.k]) AS o) END, "
-        "a -> concat(a.o, substring(__own.text, CAST(a.p + 1 AS INT))))"
+    # Spans in order, each with what those before it reach to; the text in pieces, as a substring is sought from the start.
+    found = found.withColumn("__x", F.expr("array_sort(transform(concat(base, added), x -> struct(x.s AS s, x.e AS e, x.k AS k)))"))
+    found = _running(found.withColumn("__u", F.expr("transform(__x, x -> x.e)")), "__u", "array_max", "greatest")
+    found = found.withColumn("__t", F.expr(f"CASE WHEN size(__x) > 0 THEN regexp_extract_all(__own.text, '(?s).{{1,{_PIECE}}}', 0) END"))
+    part = lambda a, b: (
+        f"CASE WHEN {b} > {a} THEN array_join(transform(sequence({a} DIV {_PIECE}, ({b} - 1) DIV {_PIECE}), "
+        f"j -> substring(__t[CAST(j AS INT)], CAST(greatest({a} - j * {_PIECE}, 0) + 1 AS INT), CAST(least({b} - j * {_PIECE}, {_PIECE}) - greatest({a} - j * {_PIECE}, 0) AS INT))), '') ELSE '' END"
     )
-    clean = F.expr(f"CASE WHEN size(base) + size(added) = 0 THEN __own.text ELSE {hidden} END")
+    shown = f"transform(__x, (x, i) -> CASE WHEN x.s >= coalesce(__u[i], 0) THEN concat({part('coalesce(__u[i], 0L)', 'x.s')}, {names}[x.k]) ELSE '' END)"
+    tail = part("array_max(transform(__x, x -> x.e))", "CAST(length(__own.text) AS BIGINT)")
+    clean = F.expr(f"CASE WHEN size(__x) = 0 THEN __own.text ELSE concat(array_join({shown}, ''), {tail}) END")
     return found.select(*[clean.alias(c) if c == "text" else F.col(f"__own.`{c}`").alias(c) for c in docs.columns])

@@ -103,7 +103,7 @@ def plain_bootstrap(texts):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_pii_bootstrap_equals_plain_version(spark, monkeypatch, seed):
     rng = random.Random(seed)
-    monkeypatch.setattr(pii, "BLOCKS", 3)  # so that the screen meets some of each pattern
+    monkeypatch.setattr(pii, "IN_PLAN", 2_000 * (seed - 1))  # with seed 1 patterns are joined with all pairs of words
     phones, mails, ids = [f"+1 (523) 555-{1000 + i}" for i in range(9)], [f"a{i}@b{i}.com" for i in range(9)], [f"id{i}-{4000 + i}" for i in range(9)]
     slots = {"call me": phones * 2 + ids, "write to": mails * 2 + ids[:5] + ["word"], "id no": ids * 3 + phones[:1], "of the": ["word"] * 40 + phones + ids}
     texts = {i: " ".join(f"{x} {rng.choice(slots[x])} then" for x in rng.choices(list(slots), k=rng.randint(0, 6))) for i in range(150)}
