@@ -1,20 +1,25 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Every word, word shape (capitals, symbols, marks, digits) and repetition flag falls to one of BUCKETS buckets. A bucket
-has a fixed random index vector (NONZERO entries of +1 or -1 among DIM). Its word vector is the sum of the index
-vectors of its neighbours (WINDOW to either side) over the whole corpus, scaled to length one, plus its own index
-vector. A document is the mean of its words' vectors and the logarithm of its length. A two-layer numpy network scores
-it, and one temperature, fitted on a held-back fifth of the sample, calibrates the probability.
-
-Word vectors come from all texts. The network is fitted on at most about SAMPLE labelled documents of the training part.
-
-Defined results: null, empty and blank texts have the zero vector and a score as any other. Labels of null quality, or
-without document, teach nothing; without labels of both kinds the score is their share, or 0.5 with none. A doc_id with
-several rows teaches with each; repeated rows are all returned. Other columns are ignored. No row: no row.
+A word has a fixed random index vector (NONZERO entries of +1 or -1 among DIM). Its word vector is the sum of the index
+vectors of the words up to WINDOW words to either side, over the whole corpus, scaled to length one, plus its own index
+vector. A document is the mean of its words' vectors, with the shares of the word shapes (capitals, symbols, digits), the
+share of repeated five-word windows and the logarithm of its length. A two-layer numpy network scores it, and one
+temperature, fitted on a held-back fifth of the sample, calibrates the probability.
+
+Word vectors come from all texts. Words fall to BUCKETS rows by their hash, so that the table is bounded (8 MB) on a
+corpus of any vocabulary; a row holds the sums of its words, of which the frequent ones make nearly all. The network is
+fitted on at most about SAMPLE labelled documents of the training part.
+
+Defined results: null, empty and blank texts have the zero vector and a score as any other. Very long texts are read
+whole, in slices of CHUNK words. Equal texts have equal scores, and rows do not compete, so there are no ties. Labels of
+null quality, or without document, teach nothing; without labels of both kinds the score is their share, or 0.5 with
+none. A doc_id with several rows teaches with each; repeated rows are all returned. Other columns are ignored. No row:
+no row.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,109 +30,130 @@ from pyspark.sql import functions as F
 
 from filegraph.llm.common import bounded_batches, crc_mod, lean, mix64, staged
 
-BUCKETS, DIM, NONZERO, WINDOW, SAMPLE, CACHE = 4096, 64, 4, 3, 20_000, 150_000
-_SHAPES = 64  # the last buckets are shapes and flags
+BUCKETS, DIM, NONZERO, WINDOW, SAMPLE, CACHE, CHUNK = 65_535, 32, 4, 3, 20_000, 150_000, 50_000
+SHAPES = 27
+_ODD = re.compile(r"[#*$%&|<>{}\\~^_=]")
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the nonzero entries of each bucket's index vector."""
+def index_vectors() -> np.ndarray:
+    """The index vector of each row of the table; one more row of zeros stands between texts."""
     h = mix64(np.arange(BUCKETS * NONZERO, dtype=np.uint64) + np.uint64(0xABCDEF)).reshape(BUCKETS, NONZERO)
-    return (h % np.uint64(DIM)).astype(np.int64), np.where(h >> np.uint64(63), 1, -1).astype(np.int64)
+    out = np.zeros((BUCKETS + 1, DIM), np.int8)
+    np.add.at(out, (np.arange(BUCKETS)[:, None], (h % np.uint64(DIM)).astype(np.int64)), np.where(h >> np.uint64(63), 1, -1).astype(np.int8))
+    return out
+
 
+class _Codes(dict):
+    """Word -> its hash (43 bits), row of the table (16 bits) and shape (5 bits); words are coded when first asked for."""
 
-def _code(word: str) -> int:
-    """Hash of the word (43 bits), its bucket (12 bits), its shape (5 bits)."""
-    core = "".join(filter(str.isalpha, word))
-    low = core.lower()
-    rest = len(word) - len(core)
-    odd = sum(map(word.count, "#*$%&|<>{}\\~^_="))
-    shape = (2 if len(core) > 1 and core == core.upper() != low else 1 if core[:1] != low[:1] else 0) + 3 * min(rest, 2) + 9 * min(odd, 2)
-    bucket = xxhash.xxh3_64_intdigest(low) % (BUCKETS - _SHAPES)
-    return (xxhash.xxh3_64_intdigest(word, 1) >> 21) << 17 | bucket << 5 | shape
+    def __missing__(self, word: str) -> int:
+        whole = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if word.isalpha():
+            core, rest, odd = word, 0, 0
+        else:
+            core = "".join(filter(str.isalpha, word))
+            rest, odd = min(len(word) - len(core), 2), min(len(_ODD.findall(word)), 2)
+        low = core.lower()
+        own = whole if low == word else xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
+        shape = (0 if core == low else 2 if len(core) > 1 and core == core.upper() else 1 if core[:1] != low[:1] else 0) + 3 * rest + 9 * odd
+        code = self[word] = (whole >> 21) << 21 | own % BUCKETS << 5 | shape
+        return code
 
 
-_cache: dict[str, int] = {}
+_codes = _Codes()
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Buckets of a text: for each word its own, its shape's and its repetition flag's."""
+def coded(text: str | None) -> np.ndarray:
+    """The code of each word of a text, in order."""
     words = text.split() if text else []
-    if not words:
-        return np.empty(0, np.int64)
-    if len(_cache) > CACHE:
-        _cache.clear()
-    found = list(map(_cache.get, words))
-    if None in found:
-        for i, x in enumerate(found):
-            if x is None:
-                w = words[i]
-                found[i] = _cache[w] = _code(w)
-    code = np.array(found, np.uint64)
-    n = len(code)
-    out = np.empty((n, 3), np.int64)
-    out[:, 0] = (code >> np.uint64(5)) & np.uint64(0xFFF)
-    out[:, 1] = (code & np.uint64(31)) + np.uint64(BUCKETS - _SHAPES)
-    out[:, 2] = BUCKETS - 2
-    if n >= 5:
-        with np.errstate(over="ignore"):
-            h = mix64(code >> np.uint64(17))
-            w = mix64(h[: n - 4] + np.uint64(3) * h[1 : n - 3] + np.uint64(5) * h[2 : n - 2] + np.uint64(7) * h[3 : n - 1] + np.uint64(11) * h[4:])
-        _, first = np.unique(w, return_index=True)
-        again = np.ones(n - 4, bool)
-        again[first] = False
-        out[: n - 4, 2][again] = BUCKETS - 1
-    return out.ravel()
+    if len(_codes) > CACHE:
+        _codes.clear()
+    return np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
+
+
+def rows_of(code: np.ndarray) -> np.ndarray:
+    return (code >> np.uint64(5)).astype(np.uint16)
+
+
+def neighbours(rows: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that occur, sums of the index vectors of their neighbours): WINDOW words to either side in one sequence of rows."""
+    x = index[rows]
+    sums = np.zeros((len(rows) + 2 * WINDOW + 1, DIM), np.int32)
+    np.cumsum(x, axis=0, dtype=np.int32, out=sums[WINDOW + 1 : WINDOW + 1 + len(rows)])
+    sums[WINDOW + 1 + len(rows) :] = sums[WINDOW + len(rows)]
+    around = sums[2 * WINDOW + 1 :] - sums[: len(rows)] - x
+    order = np.argsort(rows, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(rows[order]) != 0)))
+    return rows[order][first], np.add.reduceat(around[order], first, axis=0)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at, sign = index_vectors()
-    at, sign = np.vstack((at, np.zeros((1, NONZERO), np.int64))), np.vstack((sign, np.zeros((1, NONZERO), np.int64)))
-    total = np.zeros(((BUCKETS + 1) * DIM), np.int64)
-    gap = np.full(WINDOW, BUCKETS)  # a bucket beyond the last, of index vector zero, keeps texts apart
-
-    def add(parts: list[np.ndarray]) -> None:
-        ids = np.concatenate(parts)
-        for start in range(0, len(ids), 200_000):
-            x = ids[start : start + 200_000 + WINDOW]
-            for far in range(1, WINDOW + 1):
-                left, right = x[:-far][:200_000], x[far:][:200_000]
-                for a, b in ((left, right), (right, left)):
-                    for k in range(NONZERO):
-                        total[:] += np.bincount(a * DIM + at[b, k], sign[b, k], len(total)).astype(np.int64)
-
-    parts, size = [], 0
+    index, total, gap = index_vectors(), np.zeros((BUCKETS + 1, DIM), np.int32), np.full(WINDOW, BUCKETS, np.uint16)
+    parts: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        rows = np.concatenate(parts)
+        if size:
+            for at in range(0, len(rows), CHUNK):
+                # Each slice sees WINDOW words more on both sides, which are taken for nothing but neighbours.
+                lo, hi = max(0, at - WINDOW), min(len(rows), at + CHUNK + WINDOW)
+                seen, sums = neighbours(rows[lo:hi], index)
+                total[seen] += sums
+                for a, b in ((lo, at), (min(len(rows), at + CHUNK), hi)):
+                    for i in range(a, b):
+                        near = index[rows[max(lo, i - WINDOW) : min(hi, i + WINDOW + 1)]].sum(axis=0, dtype=np.int32)
+                        total[rows[i]] -= near - index[rows[i]]
+        parts.clear()
+        size = 0
+
     for b in batches:
         for text in b.column(0).to_pylist():
-            parts += [tokens(text), gap]
+            parts += [rows_of(coded(text)), gap]
             size += len(parts[-2])
-            if size > 1_000_000:
-                add(parts)
-                parts, size = [], 0
+            if size > CHUNK:
+                flush()
     if parts:
-        add(parts)
-    full = np.flatnonzero(total[: BUCKETS * DIM])
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(total[full], pa.int64())], names=["k", "v"])
+        flush()
+    full = np.flatnonzero(total[:BUCKETS].any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(total[full, k]) for k in range(DIM))], names=["k", *(f"v{k}" for k in range(DIM))])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """BUCKETS vectors of DIM numbers, gathered from all texts; their size does not depend on the corpus."""
+    """The table of word vectors, gathered from all texts; its size does not depend on the corpus."""
     bounded_batches(docs.sparkSession)
-    sums = docs.select(F.col("text").cast("string")).mapInArrow(lean(_contexts, _cache.clear), "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
-    w = np.zeros(BUCKETS * DIM)
-    w[sums["k"].to_numpy(np.int64)] = sums["v"].to_numpy(np.float64)
-    w = w.reshape(BUCKETS, DIM)
+    sums = docs.select(F.col("text").cast("string")).mapInArrow(lean(_contexts, _codes.clear), "k int, " + ", ".join(f"v{k} int" for k in range(DIM)))
+    sums = sums.groupBy("k").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(DIM)]).toArrow()  # BUCKETS rows at most
+    w = np.zeros((BUCKETS, DIM))
+    w[sums.column("k").to_numpy()] = np.stack([sums.column(f"v{k}").to_numpy() for k in range(DIM)], axis=1)
     w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1)
-    at, sign = index_vectors()
-    own = np.zeros((BUCKETS, DIM))
-    np.add.at(own, (np.arange(BUCKETS)[:, None], at), sign / np.sqrt(NONZERO))
-    return (w + own).astype(np.float32)
+    return (w + index_vectors()[:BUCKETS] / np.sqrt(NONZERO)).astype(np.float32)
+
+
+def repeated(code: np.ndarray) -> float:
+    """Share of a text's five-word windows that are equal to another one before."""
+    n = len(code) - 4
+    if n < 2:
+        return 0.0
+    with np.errstate(over="ignore"):
+        h = mix64(code >> np.uint64(21))
+        w = mix64(h[:n] + np.uint64(3) * h[1 : n + 1] + np.uint64(5) * h[2 : n + 2] + np.uint64(7) * h[3 : n + 3] + np.uint64(11) * h[4:])
+    w.sort()
+    return float(np.count_nonzero(w[1:] == w[:-1])) / n
 
 
 def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
-    ids = tokens(text)
-    if not len(ids):
-        return np.zeros(DIM + 1, np.float32)
-    return np.append(np.bincount(ids, minlength=BUCKETS).astype(np.float32) @ vectors / len(ids), np.log1p(len(ids) / 3)).astype(np.float32)
+    """Mean word vector, shares of shapes, share of repeated windows, log length."""
+    code = coded(text)
+    n = len(code)
+    out = np.zeros(DIM + SHAPES + 2)
+    if n:
+        rows = rows_of(code)
+        out[:DIM] = sum(vectors[rows[at : at + CHUNK]].sum(axis=0, dtype=np.float64) for at in range(0, n, CHUNK)) / n
+        out[DIM : DIM + SHAPES] = np.bincount((code & np.uint64(31)).astype(np.int64), minlength=SHAPES) / n
+        out[-2:] = repeated(code), np.log1p(n)
+    return out.astype(np.float32)
 
 
 class Network:
@@ -185,10 +211,10 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network:
             x = [pooled(t, vectors).tolist() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), b.column(1)], names=["x", "y"])
 
-    rows = labelled_sample(docs, labels, "quality", 3, 1, SAMPLE).mapInArrow(lean(pool, _cache.clear), "x array<float>, y int").toPandas()
+    rows = labelled_sample(docs, labels, "quality", 3, 1, SAMPLE).mapInArrow(lean(pool, _codes.clear), "x array<float>, y int").toPandas()
     rows["k"] = rows["x"].map(lambda x: np.asarray(x, np.float32).tobytes())
     rows = rows.sort_values(["k", "y"])  # the same order in each run
-    x = np.stack(rows["x"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, DIM + 1))
+    x = np.stack(rows["x"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, DIM + SHAPES + 2))
     return Network(x, rows["y"].to_numpy(np.float64))
 
 
@@ -202,5 +228,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = network(np.stack([pooled(t, vectors) for t in texts]).astype(np.float64)) if texts else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, _cache.clear), "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, _codes.clear), "doc_id long, score double")
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
