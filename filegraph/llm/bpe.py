@@ -1,15 +1,18 @@
 """Byte-level BPE encoding and decoding by recursive queries.
 
-Each partition runs DuckDB: the bytes of its new words are token-position rows (word, position, token, next token,
-next position). A recursive query joins them with the merge table and contracts each word's leftmost pair of least rank
-until no word has a pair left; ordered aggregation of the tokens then yields a word's ids and, through the token table,
-its decoded bytes. A document's ids are those of its words in order.
+Each partition runs DuckDB. A new word is a list of tokens, at first those of its bytes. A recursive query lays the lists
+out as token-position rows, joins them with the merge table, finds each word's leftmost pair of least rank and contracts
+it, until no word has a pair left. Ordered aggregation over the token table then decodes the word, and ordered
+aggregation over a document's words yields its ids and its decoded text.
 
 A word is one match of the tokenizer's pattern. Words that are a token need no contraction. Words over LONG bytes are
-contracted by the same rule on a heap, as the recursion would hold rows with the square of their length.
+contracted by the same rule on a heap, as the recursion would hold lists with the square of their length; their ids are
+the same, and they are decoded like the others. A query takes at most PART words or SLICE positions, so memory is bounded
+whatever the length of a text.
 
-Defined results: a null text counts as empty and has no ids. Repeated rows are all returned. Other columns are ignored.
-No row: no row. The ranks file is a parameter, read where the code runs and never copied.
+Defined results: a null text counts as empty and has no ids. Repeated rows are all returned, and rows do not influence
+each other, so there are no ties. Very long texts are encoded whole. Other columns are ignored. No row: no row. The
+ranks file is a parameter, read where the code runs and never copied.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,25 +29,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filegraph.llm.common import bounded_batches, lean
-from filegraph.llm.pretokens import chunks, compiled
+from filegraph.llm.pretokens import compiled
 
-LONG, CACHE, PART = 400, 60_000, 6_000
+LONG, CACHE, PART, SLICE = 400, 200_000, 20_000, 200_000
 
 _CONTRACT = """
-WITH RECURSIVE s(w, pos, tok, nx, nn, k) AS (
-  SELECT w, pos, tok, lead(tok) OVER x, lead(pos) OVER x, 0 FROM fresh WINDOW x AS (PARTITION BY w ORDER BY pos)
+WITH RECURSIVE s(w, t) AS (
+  SELECT w, t FROM fresh
   UNION ALL
-  SELECT * FROM (
-    WITH c AS (SELECT s.*, m.n * 1048576 + s.pos AS key FROM s LEFT JOIN merges m ON m.l = s.tok AND m.r = s.nx),
-    b AS (SELECT w, min(key) AS best, arg_min(nn, key) AS gone FROM c WHERE key IS NOT NULL GROUP BY w),
-    g AS (SELECT c.w, c.pos, c.nx, c.nn, b.best >> 20 AS new, b.best & 1048575 AS at FROM c JOIN b ON c.w = b.w AND c.pos = b.gone)
-    SELECT c.w, c.pos,
-      CASE WHEN c.pos = g.at THEN g.new::INT ELSE c.tok END,
-      CASE WHEN c.pos = g.at THEN g.nx WHEN c.nn = g.at THEN g.new::INT ELSE c.nx END,
-      CASE WHEN c.pos = g.at THEN g.nn ELSE c.nn END, c.k + 1
-    FROM c JOIN g ON c.w = g.w WHERE c.pos <> g.pos))
-SELECT w, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, decode(unhex(string_agg(t.hex, '' ORDER BY pos))) AS back
-FROM s JOIN tokens t ON t.id = s.tok WHERE (w, k) IN (SELECT w, max(k) FROM s GROUP BY w) GROUP BY w
+  SELECT s.w, list_concat(list_append(t[:(b.best & 1048575) - 1], (b.best >> 20)::INT), t[(b.best & 1048575) + 2:])
+  FROM s JOIN (
+    SELECT w, min((m.n << 20) | p.i) AS best
+    FROM (SELECT w, unnest(t[:-2]) AS l, unnest(t[2:]) AS r, unnest(range(1, len(t))) AS i FROM s) p
+    JOIN merges m ON m.lr = (p.l::BIGINT << 24) | p.r GROUP BY w) b ON b.w = s.w),
+done AS MATERIALIZED (SELECT w, arg_min(t, len(t)) AS t FROM s GROUP BY w)
+"""
+_KEEP = """
+INSERT INTO known {contract}
+SELECT d.w, len(d.t), array_to_string(d.t, ','), b.back FROM {done} d JOIN (
+  SELECT x.w, decode(unhex(string_agg(k.hex, '' ORDER BY x.i))) AS back
+  FROM (SELECT w, unnest(t) AS id, unnest(range(len(t))) AS i FROM {done}) x JOIN tokens k ON k.id = x.id GROUP BY x.w) b ON b.w = d.w
+"""
+_TEXTS = """
+SELECT p.d, sum(k.n)::BIGINT AS n, string_agg(k.ids, ',' ORDER BY p.i) AS ids, string_agg(k.back, '' ORDER BY p.i) AS back
+FROM places p JOIN known k ON k.w = p.w GROUP BY p.d
 """
 
 
@@ -58,13 +67,13 @@ class Coder:
         self.bytes_of = {i: t for t, i in self.ranks.items()}
         self.one = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.pattern = compiled(pattern)
-        self.words: dict[str, tuple[str, str]] = {}
-        self.chunks: dict[object, tuple[str, str]] = {}
-        pairs = [(a, b, n) for t, n in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB"})
+        self.words: dict[str, int] = {}
+        pairs = [(a << 24 | b, n) for t, n in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None]
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         table = lambda name, **cols: (self.db.register("given", pa.table(cols)), self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given"))
-        table("merges", l=pa.array([x[0] for x in pairs], pa.int32()), r=pa.array([x[1] for x in pairs], pa.int32()), n=pa.array([x[2] for x in pairs], pa.int64()))
+        table("merges", lr=pa.array([x[0] for x in pairs], pa.int64()), n=pa.array([x[1] for x in pairs], pa.int64()))
         table("tokens", id=pa.array(list(self.ranks.values()), pa.int32()), hex=pa.array([t.hex() for t in self.ranks], pa.string()))
+        self.db.execute("CREATE TABLE known (w INT, n INT, ids VARCHAR, back VARCHAR)")
 
     def long_word(self, word: bytes) -> list[int]:
         """The leftmost pair of least rank first, by a heap."""
@@ -85,53 +94,47 @@ class Coder:
                     heapq.heappush(heap, (r, x, part[x] + part[y]))
         return [self.ranks[p] for p in part if p]
 
+    def _fresh(self, numbers: list[int], size: np.ndarray, every: np.ndarray) -> None:
+        ends = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+        self.db.register("fresh", pa.table({"w": pa.array(numbers, pa.int32()), "t": pa.ListArray.from_arrays(ends, pa.array(every, pa.int32()))}))
+
     def learn(self, words: list[str]) -> None:
-        """Fill the cache with the ids and decoded text of new words."""
-        todo, raw = [], []
-        for w in words:
-            b = w.encode()
+        """Number new words and keep their ids and decoded text."""
+        todo, whole = [], []
+        for n, w in enumerate(words, len(self.words)):
+            self.words[w], b = n, w.encode()
             if b in self.ranks or len(b) > LONG:
-                ids = [self.ranks[b]] if b in self.ranks else self.long_word(b)
-                self.words[w] = ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)).decode()
+                whole.append((n, [self.ranks[b]] if b in self.ranks else self.long_word(b)))
             else:
-                todo.append(w)
-                raw.append(b)
+                todo.append((len(b), n, b))
+        if whole:
+            self._fresh([n for n, _ in whole], np.array([len(t) for _, t in whole]), np.concatenate([np.array(t, np.int32) for _, t in whole]))
+            self.db.execute(_KEEP.format(contract="", done="fresh"))
+        todo.sort()  # words of a query take about as many rounds
         for at in range(0, len(todo), PART):
-            part = raw[at : at + PART]
-            size, every = np.array(list(map(len, part))), np.frombuffer(b"".join(part), np.uint8)
-            pos = np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size)
-            self.db.register("fresh", pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), size), "pos": pos.astype(np.int32), "tok": self.one[every]}))
-            got = self.db.sql(_CONTRACT).to_arrow_table()
-            for w, ids, back in zip(*(got.column(c).to_pylist() for c in ("w", "ids", "back")), strict=True):
-                self.words[todo[at + w]] = ids, back
+            size, numbers, raw = zip(*todo[at : at + PART], strict=True)
+            self._fresh(list(numbers), np.array(size), self.one[np.frombuffer(b"".join(raw), np.uint8)])
+            self.db.execute(_KEEP.format(contract=_CONTRACT, done="done"))
 
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Number of ids, the ids joined by commas, and the text decoded from them, for each text."""
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
+        pieces = [self.pattern.findall(t) if t else [] for t in texts]
         if len(self.words) > CACHE:
             self.words.clear()
-        cut = []
-        for t in texts:
-            own: list = chunks(t) if t else []
-            if own:
-                own[0] = (own[0],)  # no blank in front of it
-            cut.append(own)
-        new = set().union(*cut).difference(self.chunks)
-        pieces = {c: self.pattern.findall(c[0] if isinstance(c, tuple) else " " + c) for c in new}
-        self.learn(list({w for p in pieces.values() for w in p if w not in self.words}))
-        for c, p in pieces.items():
-            if p:
-                found = [self.words[w] for w in p]
-                self.chunks[c] = found[0] if len(found) == 1 else (",".join([x[0] for x in found]), "".join([x[1] for x in found]))
-            else:
-                self.chunks[c] = "", ""
-        out = []
-        for own in cut:
-            ids, back = zip(*map(self.chunks.__getitem__, own), strict=True) if own else ((), ())
-            ids = ",".join(ids if ids[:1] != ("",) else ids[1:])
-            out.append((ids.count(",") + 1 if ids else 0, ids, "".join(back)))
-        return out
+            self.db.execute("TRUNCATE known")
+        self.learn(list(set().union(*pieces).difference(self.words)))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        d, w = np.repeat(np.arange(len(pieces), dtype=np.int32), size), np.fromiter(map(self.words.__getitem__, chain.from_iterable(pieces)), np.int32, int(size.sum()))
+        out: list[list] = [[0, [], []] for _ in texts]
+        for at in range(0, len(w), SLICE):
+            own = w[at : at + SLICE]
+            self.db.register("places", pa.table({"d": d[at : at + SLICE], "i": np.arange(len(own), dtype=np.int32), "w": own}))
+            got = self.db.sql(_TEXTS).to_arrow_table()
+            for k, n, ids, back in zip(*(got.column(c).to_pylist() for c in ("d", "n", "ids", "back")), strict=True):
+                out[k][0] += n
+                out[k][1].append(ids)
+                out[k][2].append(back)
+        return [(n, ",".join(ids), "".join(back)) for n, ids, back in out]
 
 
 _coders: dict[tuple[str, str], Coder] = {}
@@ -143,8 +146,12 @@ def coder(path: str, pattern: str) -> Coder:
     return _coders[path, pattern]
 
 
-def report(docs: DataFrame, path: str, pattern: str, batch: str = "2m") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256. Larger Arrow batches save queries of few new words, and take memory."""
+def report(docs: DataFrame, path: str, pattern: str, batch: str = "2m", keep: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Larger Arrow batches save queries of few new words, and take memory; so does keeping a worker's words (CACHE at most)
+    for its next partitions.
+    """
     bounded_batches(docs.sparkSession, size=batch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,4 +162,4 @@ def report(docs: DataFrame, path: str, pattern: str, batch: str = "2m") -> DataF
             cols = pa.array([x[0] for x in found], pa.int64()), *(pa.array([digest(x[i]) for x in found], pa.string()) for i in (1, 2))
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, _coders.clear), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, *[_coders.clear] * (not keep)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
