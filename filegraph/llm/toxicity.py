@@ -125,12 +125,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> PositiveUnlabelled:
     n, toxic = own.agg(F.count(F.lit(1)), F.sum(F.expr("CAST(toxic = 1 AS INT)"))).first()
     if not toxic:
         return PositiveUnlabelled([], [], 0.5)
-    positive = [r["text"] for r in labelled_sample(docs, labels.filter("toxic = 1"), "toxic", 5, 0, POSITIVES).collect()]
+    # What the driver gets is bounded: the samples by their sizes, each text by FIT_CHARS.
+    texts = lambda df: sorted({r["text"] for r in df.select(F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= FIT_CHARS).collect()})
+    positive = texts(labelled_sample(docs, labels.filter("toxic = 1"), "toxic", 5, 0, POSITIVES))
     train = docs.filter(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", F.col("text").cast("string"))
     rate = UNLABELLED / max(1, train.select("doc_id").count())
-    other = [r["text"] for r in train.filter(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 40)) / float(1 << 40) < rate).select("text").collect()]
+    other = texts(train.filter(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 40)) / float(1 << 40) < rate))
     prior = min(0.5, max(1e-4, toxic / n))
-    return PositiveUnlabelled(*[sorted({t or "" for t in x if len(t or "") <= FIT_CHARS}) for x in (positive, other)], prior)
+    return PositiveUnlabelled(positive, other, prior)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
