@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
@@ -31,14 +32,41 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[key]
 
 
+#: Folders that steps of a pipeline have staged, by step; see `step`.
+_STEPS: dict[str, list[str]] = {}
+_now: list[str] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/filegraph/{label}-{uuid.uuid4().hex}"
+    if _now:
+        _STEPS.setdefault(_now[-1], []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def step(name: str, docs: DataFrame) -> Iterator[None]:
+    """A step of a pipeline whose steps' results are written before the next begins.
+
+    What earlier steps staged is deleted when it begins, but for folders that docs still reads.
+    """
+    spark = docs.sparkSession
+    read = docs.inputFiles()
+    for own in _STEPS.values():
+        for path in [p for p in own if not any(p.rpartition("/")[2] in f for f in read)]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            own.remove(path)
+    _now.append(name)
+    try:
+        yield
+    finally:
+        _now.pop()
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "2m") -> None:
     """Bound what one Arrow batch holds, so that long texts do not add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -87,8 +87,8 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray]:
     return {k: np.array(v, np.int64).view(np.uint64) for k, v in sorted(out.items())}
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], columns: list[str]) -> DataFrame:
-    """The given columns of docs with lang_pred and score."""
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], columns: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The given columns of docs with the predicted language and its score, under these names."""
     bounded_batches(docs.sparkSession)
     known = [(k, np.sort(v), np.argsort(v, kind="stable")) for k, v in profiles.items()]
 
@@ -108,7 +108,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], columns: list[str]
     df = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").cast("string").alias("t"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
     out = df.mapInArrow(lean(run), f"{kinds}, lang_pred string, score double")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "lang_pred", "score")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -118,5 +118,6 @@ def report(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """docs without the rows whose language is unknown (no letter, or no text). All columns stay."""
-    out = predict(docs, fit(docs), docs.columns)
-    return out.filter(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = ("\u0001lang", "\u0001score")  # no column of docs
+    out = predict(docs, fit(docs), docs.columns, names)
+    return out.filter(F.col(f"`{names[0]}`") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -88,25 +88,27 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-_FEATURES = pa.schema([("id", pa.int64()), ("u", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_FEATURES = pa.schema([("id", pa.int64()), ("t", pa.int64()), ("u", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in text_batches(batches):
+    for b in batches:
         u, n, sig, bands = [], [], [], []
-        for t in texts:
+        for t in b.column(1).to_pylist():
             s, unit = shingle_set(t)
             u.append(_signed(unit) if len(s) else None)
             n.append(len(s))
             full = signature(s) if len(s) else None
             sig.append(None if full is None else full.astype(np.uint8).tobytes())
             bands.append([] if full is None else band_keys(full))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((ids, u, n, sig, bands), _FEATURES, strict=True)], schema=_FEATURES)
+        made = [pa.array(x, t.type) for x, t in zip((u, n, sig, bands), list(_FEATURES)[2:], strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], schema=_FEATURES)
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """id, u (unit), n (set size), sig (low byte of each coordinate), bands: for each row of docs (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_features), "id long, u long, n long, sig binary, bands array<long>")
+    """id, t (hash of the text), u (unit), n (set size), sig (low byte of each coordinate), bands: for each row of docs (doc_id, text)."""
+    df = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("*", F.xxhash64("text"))
+    return df.mapInArrow(lean(_features), "id long, t long, u long, n long, sig binary, bands array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +206,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         now = after.select("node", "comp")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links), kept: one row for each row of docs."""
+def near_duplicates(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links), kept, and the digest (xxhash64) of the text if wanted: one row for each row of docs."""
     bounded_batches(docs.sparkSession)
     feats = staged(features(docs), "minhash-features")
     named = feats.filter("u is not null and id is not null")
@@ -237,9 +239,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     unit = staged(unit, "minhash-units")
     least = unit.groupBy("c").agg(F.min("id").alias("component"))
     ends = unit.join(least, "c").select("u", "component")
-    out = feats.select("id", "u", "n").join(ends, "u", "left")
+    out = feats.select("id", "t", "u", "n").join(ends, "u", "left")
     return out.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id")).cast("long").alias("component_id"),
-        (F.col("id").isNull() | (F.coalesce("component", "id") == F.col("id"))).alias("kept"),
+        (F.col("id").isNull() | (F.coalesce("component", "id") == F.col("id"))).alias("kept"), *[F.col("t").alias("digest")] * digest,
     )

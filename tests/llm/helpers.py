@@ -15,8 +15,9 @@ AWKWARD = [
 
 def awkward(spark):
     """Nulls in every column, empty, blank and long texts, repeated rows, and a column that clashes with internal names."""
-    rows = [(*r, len(r[1] or ""), "x", 1) for r in AWKWARD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, u string, n long").withColumnRenamed("n", "size")
+    rows = [(*r, len(r[1] or ""), "x", 1, 0.5, "zz", [1], "k") for r in AWKWARD]
+    names = "doc_id long, text string, lang string, source string, n_chars long, u string, size long, score double, lang_pred string, slots array<int>, t string"
+    return spark.createDataFrame(rows, names)
 
 
 def labels(spark):
