@@ -10,35 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filegraph.llm import bpe, langid, minhash, mixing, pii
-from filegraph.llm.common import documents, staged
+from filegraph.llm.common import documents, staged, step
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognizable language (no letter, no text) go."""
-    return langid.accepted(docs)
+    with step("language", docs):
+        return langid.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the least doc_id stays; rows without a doc_id stay."""
-    gone = minhash.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(staged(gone, "dedup-gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Of each group of near copies the document of the least doc_id stays; rows without a doc_id stay.
+
+    A row goes by its doc_id and its text, so that another text under the same doc_id is judged by itself.
+    """
+    with step("near_dedup", docs):
+        gone = minhash.near_duplicates(docs, digest=True).filter("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__text")).distinct()
+        gone = staged(gone, "dedup-gone")
+        gone = F.broadcast(gone) if gone.count() <= minhash.BROADCAST_IDS else gone  # else the texts are shuffled
+    return docs.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__text")), "left_anti")
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts gives way to its kind in brackets."""
-    return pii.mask(docs)
+    with step("pii", docs):
+        return pii.mask(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.emit(docs)
+    with step("mix", docs):
+        return mixing.emit(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count, ids digest and decoded digest of each document."""
     import public_tokenizers
 
-    return bpe.report(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    with step("bpe", docs):
+        return bpe.report(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("pii", mask_pii), ("mix", mix_sources), ("bpe", encode)]
