@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from collections.abc import Mapping as Tables
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filegraph import file_queries
 from filegraph.engine import Engine
 from filegraph.functions import output
 from filegraph.functions.expr import expression, predicate
@@ -52,8 +54,28 @@ MANIFEST = {
 }
 
 
-def _tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    return {t: readers.parquet(spark, f"{sf_dir}/{t}.parquet", t) for t in names}
+class _Tables(Tables):
+    """The source tables, each opened when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, names: tuple[str, ...]):
+        self._open, self._names, self._found = lambda t: readers.parquet(spark, f"{sf_dir}/{t}.parquet", t), names, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._names:
+            raise KeyError(name)
+        if name not in self._found:
+            self._found[name] = self._open(name)
+        return self._found[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+
+def _tables(spark: SparkSession, sf_dir: str, *names: str) -> _Tables:
+    return _Tables(spark, sf_dir, names)
 
 
 def shop(spark: SparkSession, sf_dir: str) -> Mapping:
@@ -129,7 +151,7 @@ def transform_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(p["column"], p["type"], p["non_empty"], p["distinct"], p["likely_id"]) for p in profile(readers.parquet(spark, f"{sf_dir}/customer.parquet", "customer"))]
+    rows = [(p["column"], p["type"], p["non_empty"], p["distinct"], p["likely_id"]) for p in profile(readers.parquet(spark, f"{sf_dir}/customer.parquet", "customer").drop("c_acctbal"))]
     return spark.createDataFrame(rows, "column string, type string, non_empty long, distinct_values long, likely_id boolean")
 
 
@@ -159,21 +181,29 @@ def validation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, int(r.metrics[k])) for k in ("duplicate_vertex_ids", "missing_endpoints", "unresolved_references.customer_nation")], "metric string, value long")
 
 
+_published: dict[tuple[str, str], Engine] = {}
+
+
+def published(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine with the shop graph published, once for each session and folder of tables."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _published:
+        e = Engine(spark, file_queries.folder(spark))
+        e.register_graph(shop(spark, sf_dir).graph())
+        e.publish("shop")
+        _published[key] = e
+    return _published[key]
+
+
 def published_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two-hop query on a published snapshot: same rows as on the views."""
-    import uuid
-
-    home = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    e = Engine(spark, f"{home.rstrip('/')}/published-{uuid.uuid4().hex}")
-    e.register_graph(shop(spark, sf_dir).graph())
-    e.publish("shop")
-    return e.query({"graph": "shop", "steps": [*_BUILDING, _op("out", "IN_NATION"), _op("out", "IN_REGION"), _op("render", fields=["id", "name"])]})
+    return published(spark, sf_dir).query({"graph": "shop", "steps": [*_BUILDING, _op("out", "IN_NATION"), _op("out", "IN_REGION"), _op("render", fields=["id", "name"])]})
 
 
 def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = Engine(spark)
-        for t in ("customer", "nation", "orders", "lineitem"):
+        for t in ("customer", "nation", "orders", "lineitem", "supplier"):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         return e.sql(text)
 
@@ -187,6 +217,15 @@ _SQL = {
     "sql_window": "SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth FROM orders",
     "sql_anti": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
     "sql_setops": "SELECT c_nationkey AS k FROM customer WHERE c_mktsegment = 'BUILDING' INTERSECT SELECT c_nationkey FROM customer WHERE c_mktsegment = 'MACHINERY'",
+    "sql_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n_rows FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "sql_grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n_rows FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+    "sql_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier",
+    "sql_right_join": "SELECT n.n_name, count(s.s_suppkey) AS n_suppliers FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name",
+    "sql_full_join": "SELECT coalesce(c.c_nationkey, s.s_nationkey) AS k, count(*) AS n_rows FROM (SELECT DISTINCT c_nationkey FROM customer) c FULL JOIN supplier s ON s.s_nationkey = c.c_nationkey GROUP BY 1",
+    "sql_cross_join": "SELECT a.n_name AS a, b.n_name AS b FROM nation a CROSS JOIN nation b",
+    "sql_range_join": "SELECT a.n_nationkey AS a, count(*) AS n_rows FROM nation a JOIN supplier s ON s.s_nationkey BETWEEN a.n_nationkey AND a.n_nationkey + 2 GROUP BY a.n_nationkey",
+    "sql_dates": "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n_rows, CAST(min(CAST(o_orderdate AS DATE)) AS STRING) AS first_day FROM orders GROUP BY 1, 2",
+    "sql_math": "SELECT l_orderkey, l_linenumber, l_partkey, round(abs(l_discount - 0.05), 4) AS d, CAST(floor(l_extendedprice / 1000) AS BIGINT) AS k, CAST(l_quantity AS BIGINT) % 7 AS r FROM lineitem",
     "sql_topk": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 25",
 }
 
@@ -223,6 +262,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_stats": lambda s, d: shop(s, d).all_vertices().groupBy("label").agg(F.count(F.lit(1)).alias("n")),
     "props_modes": lambda s, d: shop(s, d).all_vertices().filter("label IN ('Region', 'Order')").select("id", "prop_r_name", "prop_o_orderpriority", "status"),
     **{k: _sql(v) for k, v in _SQL.items()},
+    **file_queries.QUERIES,
 }
 
 _TWO_HOP = _WITH + "SELECT r.id, r.name FROM v JOIN e e1 ON e1.f = v.id AND e1.l = 'IN_NATION' JOIN e e2 ON e2.f = e1.t AND e2.l = 'IN_REGION' JOIN v r ON r.id = e2.t WHERE v.segment = 'BUILDING'"
@@ -258,5 +298,7 @@ ORACLES: dict[str, str] = {
     "published_two_hop": _TWO_HOP,
     "label_stats": _WITH + "SELECT label, count(*) AS n FROM v GROUP BY label",
     "props_modes": "SELECT 'Region/'||r_regionkey AS id, r_name AS prop_r_name, '' AS prop_o_orderpriority, '' AS status FROM region UNION ALL SELECT 'Order/'||o_orderkey, '', o_orderpriority, o_orderstatus FROM orders",
-    **_SQL,
+    **(_SQL | {"sql_dates": _SQL["sql_dates"].replace("STRING", "VARCHAR")}),
+    "profile_customer": "SELECT 'c_custkey' AS \"column\", 'Integer' AS type, count(*) AS non_empty, count(DISTINCT c_custkey) AS distinct_values, true AS likely_id FROM customer UNION ALL SELECT 'c_name', 'String', count(*), count(DISTINCT c_name), count(DISTINCT c_name) >= 0.98 * count(*) FROM customer UNION ALL SELECT 'c_nationkey', 'Integer', count(*), count(DISTINCT c_nationkey), false FROM customer UNION ALL SELECT 'c_mktsegment', 'String', count(*), count(DISTINCT c_mktsegment), false FROM customer",
+    **file_queries.ORACLES,
 }
