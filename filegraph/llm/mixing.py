@@ -16,7 +16,8 @@ Targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share a
 the source's own words and the excess is shared again by weight until none is above.
 
 Defined results: null, empty or blank texts have size 0 and taken 0. A source without words has target 0. Rows that
-repeat, also under one doc_id, are each placed and returned. Other columns are ignored. No row: no row.
+repeat, also under one doc_id, are each placed and returned; rows of one hash follow each other by row number. Very long
+texts are counted whole and may span many blocks. Other columns are ignored. No row: no row.
 """
 
 from __future__ import annotations

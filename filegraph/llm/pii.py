@@ -14,7 +14,7 @@ DataFrame and SQL functions only. Positions come from running sums over the piec
 so a text of n matches costs about n steps. Patterns are written so that no text makes them backtrack for long.
 
 Defined results: a null text counts as empty and has no spans. Offsets are code points, end exclusive. Rows that repeat
-are all returned. Any other columns are ignored (`mask` keeps them). No row: no row.
+are all returned. Very long texts are read whole. Of kinds with equal scores the first listed one takes a slot. Any other columns are ignored (`mask` keeps them). No row: no row.
 """
 
 from __future__ import annotations

@@ -5,12 +5,14 @@ transformed to a vector. For each group of one language and source the minimum-c
 by concentration steps from the median: keep the SUBSET of the group's rows nearest by Mahalanobis distance, take their
 mean and covariance, repeat. A document is rejected when its distance is beyond CUT, a chi-square quantile.
 
-All rows of a group enter its estimate: quantiles and moments are aggregates, nothing is gathered. Groups of fewer than
-MIN_GROUP rows are pooled by language, and such pools, if still small, over all; a pool under MIN_GROUP rejects none.
+All rows of a group that pass the base rules enter its estimate: quantiles and moments are aggregates, nothing is
+gathered. Groups of fewer than MIN_GROUP such rows (some six for each dimension) are pooled by language, and such pools,
+if still small, over all; a pool under MIN_GROUP rejects none.
 FLOOR keeps statistics that hardly vary in a group from rejecting for trifles: it is the least standard deviation.
 
 Defined results: a null, empty or blank text has no words, all counts 0, and fails the base rules. Null lang or source
-are groups of their own. Repeated rows are all counted and returned. Other columns are ignored. No row: no row.
+are groups of their own. Very long texts are measured whole; a
+distance at the cut is kept. Repeated rows are all counted and returned. Other columns are ignored. No row: no row.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from filegraph.llm.common import bounded_batches, lean, mix64, staged, text_batches
 
-SUBSET, STEPS, MIN_GROUP = 0.75, 4, 200
+SUBSET, STEPS, MIN_GROUP = 0.75, 4, 50
 #: Least standard deviation of: log words, log word length, symbol share, capital share, repeat share, duplicate-line share, mark share, log distinct-word excess.
 FLOOR = (0.25, 0.08, 0.02, 0.03, 0.04, 0.08, 0.03, 0.06)
 P = len(FLOOR)
@@ -111,7 +113,8 @@ def grouped(rows: DataFrame) -> DataFrame:
     """rows with g: language and source, or the language's or the whole pool of small groups; null where even that is small."""
     rows = rows.withColumn("g", F.expr(_group("lang", "source")))
     for wider in (F.concat_ws("\u0001", F.lit("pool"), F.expr(_group("lang", None))), F.lit("pool"), F.lit(None).cast("string")):
-        small = rows.groupBy("g").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") < MIN_GROUP).select("g", F.lit(True).alias("small"))
+        sizes = rows.groupBy("g").agg(F.count_if(~F.col("base_failed")).alias("rows"))
+        small = sizes.filter(F.col("rows") < MIN_GROUP).select("g", F.lit(True).alias("small"))
         rows = rows.join(small, "g", "left").withColumn("g", F.when(F.col("small"), wider).otherwise(F.col("g"))).drop("small")
     return rows
 

@@ -11,7 +11,8 @@ The report pairs each document with the next by doc_id. Ranges of doc_id go to t
 head of the next as its end, so that every text crosses the network once and no task holds more than one range.
 
 Defined results: a null text counts as empty; the fingerprint of a text without a word is empty. Two empty fingerprints
-are alike (1), an empty and another are not (0). Null doc_ids come first; rows of one doc_id follow each other by a hash
+are alike (1), an empty and another are not (0). Very long texts are
+fingerprinted whole. Null doc_ids come first; rows of one doc_id follow each other by a hash
 of the text. The last row's next is the first; a single row is its own next. Other columns are ignored. No row: no row.
 """
 

@@ -6,7 +6,8 @@ stores the exact number of tokens of every prefix; truncation and budget questio
 text is the sum over its pieces; pieces repeat, so a worker keeps their counts.
 
 Defined results: a null text counts as empty, 0 tokens. Strings of special tokens in a text count as one token each.
-Repeated rows are all returned. Other columns are ignored. No row: no row. The tokenizer file is a parameter.
+Very long texts are counted whole, piece by piece. Repeated rows are all returned, each for itself, so there are no
+ties. Other columns are ignored. No row: no row. The tokenizer file is a parameter.
 """
 
 from __future__ import annotations
@@ -131,7 +132,19 @@ class Counter:
         return sum(found)
 
     def prefixes(self, text: str) -> np.ndarray:
-        """Number of tokens of each prefix of a text without special strings, by length in characters from 0."""
+        """Number of tokens of each prefix of a text, by length in characters from 0."""
+        if self.special is None or not self.special.search(text):
+            return self._plain_prefixes(text)
+        out, base, start = np.zeros(len(text) + 1, np.int64), 0, 0
+        for m in self.special.finditer(text):  # cut short, a special string is plain text
+            own = self._plain_prefixes(text[start : m.end() - 1])
+            out[start + 1 : m.end()] = base + own[1:]
+            base += int(own[m.start() - start]) + 1
+            out[m.end()], start = base, m.end()
+        out[start:] = base + self._plain_prefixes(text[start:])
+        return out
+
+    def _plain_prefixes(self, text: str) -> np.ndarray:
         out = np.zeros(len(text) + 1, np.int64)
 
         def fill(at: int, part: str, base: int, first: int = 1) -> None:
@@ -164,6 +177,12 @@ class Counter:
         return text[: int(np.flatnonzero(self.prefixes(text) <= budget)[-1])]
 
 
+    def cuts(self, text: str | None, budgets: list[int]) -> list[int]:
+        """For each budget the length in characters of the longest prefix of at most so many tokens; one pass stores all counts."""
+        counts = self.prefixes(text or "")
+        return [int(np.flatnonzero(counts <= b)[-1]) for b in budgets]
+
+
 _counters: dict[tuple[str, str], Counter] = {}
 
 
@@ -186,3 +205,20 @@ def report(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT) -> Data
 
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, _counters.clear), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def budgets(docs: DataFrame, path: str, pattern: str, limits: list[int]) -> DataFrame:
+    """doc_id, n_tokens, cuts: where each text must be cut (in characters) to hold each of the limits; one row for each row of docs.
+
+    Prefix counts are stored once for each text and answer every limit.
+    """
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = counter(path, pattern)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            n, at = pa.array([own.count(t) for t in texts], pa.int64()), pa.array([own.cuts(t, limits) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), n, at], names=["doc_id", "n_tokens", "cuts"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, _counters.clear), "doc_id long, n_tokens long, cuts array<long>")

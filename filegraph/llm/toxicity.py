@@ -9,7 +9,8 @@ and UNLABELLED other texts (a hash sample of all training-part documents, whatev
 texts once, texts over FIT_CHARS characters left out of the fit; features are those that tell them apart (`telling`).
 Scoring covers every whole text.
 
-Defined results: null, empty and blank texts hold no word and get the score of none. With no toxic label every score is
+Defined results: null, empty and blank texts hold no word and get the score of none. Very long texts are scored whole.
+Equal texts have equal scores; a score of 0.5 is toxic. With no toxic label every score is
 0. A doc_id with several rows teaches with each; repeated rows are all returned. Other columns are ignored. No row: no row.
 """
 

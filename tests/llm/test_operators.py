@@ -192,9 +192,12 @@ def test_prefix_counts_equal_library():
     r, letters = random.Random(2), "ab' sreLl\n\t  é1½!=\x1c\x85中😀"
     for t in ["", "a<|endoftext|> b", "x" * 2000, *("".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(300))]:
         assert own.count(t) == n(t)
-        if "<|" not in t and len(t) < 100:
+        if len(t) < 100:
             assert own.prefixes(t).tolist() == [n(t[:i]) for i in range(len(t) + 1)]
     assert n(own.truncate("hello world " * 400, 512)) <= 512
+    for t in ("hello world " * 40, "one<|endoftext|>two three four", "", None):
+        for budget, cut in zip((1, 3, 50), own.cuts(t, [1, 3, 50]), strict=True):
+            assert n((t or "")[:cut]) <= budget and all(n(t[:k]) > budget for k in range(cut + 1, len(t or "") + 1))
 
 
 def test_spotsigs_edits(docs, texts):
@@ -213,6 +216,86 @@ def test_spotsigs_ranges_change_nothing(docs, monkeypatch):
     assert sorted(map(tuple, spotsigs.report(docs).collect())) == whole
 
 
+def test_spotsigs_follow_their_rule(texts):
+    """Signatures of a plain walk over the words: an anchor, or a word after GAP words without one, and the CHAIN content words after it."""
+    for t in [*list(texts.values())[:60], "the cat", "", "a b c d e f g h i j", "der Hund, und die Katze"]:
+        core = [w.lower().strip("!?.,;:\"'()[]{}#*$%&|<>-_=+~^/\\") or w for w in (t or "").split()]
+        anchors, last, chains = [w in spotsigs.ANCHORS for w in core], -1, set()
+        content = [w for w, a in zip(core, anchors, strict=True) if not a]
+        for i, w in enumerate(core):
+            last = i if anchors[i] else last
+            if i - last > spotsigs.GAP or anchors[i]:
+                after = [x for x, a in zip(core[i + 1 :], anchors[i + 1 :], strict=True) if not a][: spotsigs.CHAIN]
+                if len(after) == spotsigs.CHAIN:
+                    chains.add((w, *after))
+        if len(core) < spotsigs.SHORT or len(content) < spotsigs.CHAIN + 1:
+            chains |= {(w,) for w in core}
+        assert len(spotsigs.signatures(t)) == len(chains)
+
+
+def test_word_vectors_equal_plain_sums(docs):
+    index, want = quality.index_vectors().astype(int), __import__("numpy").zeros((quality.BUCKETS, quality.DIM))
+    for r in docs.collect():
+        rows = quality.rows_of(quality.coded(r["text"]))
+        for i, x in enumerate(rows):
+            want[x] += index[rows[max(0, i - quality.WINDOW) : i]].sum(axis=0) + index[rows[i + 1 : i + 1 + quality.WINDOW]].sum(axis=0)
+    norm = __import__("numpy").linalg.norm(want, axis=1, keepdims=True).clip(1)
+    assert abs(quality.word_vectors(docs) - (want / norm + index[:-1] / quality.NONZERO**0.5)).max() < 1e-5
+
+
+def test_languages_equal_plain_profiles(docs):
+    """Rank-order profiles and out-of-place distances, over plain counters."""
+    profiles, n = langid.fit(docs), langid.PROFILE
+
+    def grams(t):
+        words = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        return Counter(g for w in words for p in [f" {w} "] for k in (1, 2, 3) for g in (p[i : i + k] for i in range(len(p) - k + 1)) if g != " ")
+
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    ranks = {k: {int(c): i for i, c in enumerate(v)} for k, v in profiles.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.report(docs).collect()}
+    for r in docs.filter("length(text) < 3000").collect():
+        own = sorted(((-c, code(g)) for g, c in grams(r["text"]).items()))[:n]
+        if not own:
+            assert got[r["doc_id"]][0] == "und"
+            continue
+        far = {k: sum(abs(known[c] - i) if c in known else n for i, (_, c) in enumerate(own)) / (n * len(own)) for k, known in ranks.items()}
+        best = min(far, key=lambda k: (far[k], k))
+        assert got[r["doc_id"]][0] == best and abs(got[r["doc_id"]][1] - (1 - far[best])) < 1e-9
+
+
+def test_concentration_equals_plain_steps(spark):
+    """The estimate of one group against numpy, from the same start and with the same steps."""
+    np = __import__("numpy")
+    x = np.random.default_rng(4).normal(size=(400, rules.P)) * 0.3
+    x[:40] += 5
+    df = spark.createDataFrame([("a", r.tolist()) for r in x], "g string, x array<double>")
+    got = rules.estimate(df).first()
+    mean = np.sort(x, axis=0)[199]
+    spread = np.sort(abs(x - mean), axis=0)[199]
+    inverse = np.diag(1 / ((1.4826 * spread) ** 2 + np.square(rules.FLOOR)))
+    far = lambda: np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+    for _ in range(rules.STEPS):
+        d = far()
+        near = x[d <= np.sort(d)[int(np.ceil(rules.SUBSET * 400)) - 1]]
+        mean = near.mean(axis=0)
+        inverse = np.linalg.inv(np.cov(near.T, bias=True) + np.diag(np.square(rules.FLOOR)))
+    assert abs(np.array(got["mean"]) - mean).max() < 0.02 and abs(np.array(got["mean"])).max() < 0.2
+    d = far()
+    assert d[:40].min() * rules.CHI_SUBSET / max(got["cut"], rules.CHI_SUBSET) > rules.CUT
+
+
+def test_toxicity_risk_is_corrected(spark):
+    """Toxic words are learned though the unlabelled texts hold toxic ones too."""
+    draw = random.Random(3)
+    plain = lambda: " ".join(draw.choice("alpha beta gamma delta omega sigma".split()) for _ in range(30))
+    toxic = lambda: plain() + " vile filth vile scum"
+    rows = [(i, toxic() if i % 5 == 0 else plain()) for i in range(600)]
+    marks = [(i, int(i % 5 == 0)) for i, _ in rows if i % 2]
+    out = toxicity.report(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
+    assert all((r["score"] >= 0.5) == (r["doc_id"] % 5 == 0) == bool(r["predicted"]) for r in out)
+
+
 def test_rules_counts():
     assert rules.statistics("a b c d e f\na b c d e f\n\na b c d e f #$")[0] == (19, 20, 2, 1, 18)
     assert rules.statistics(None)[0] == (0, 0, 0, 0, 0)
@@ -230,7 +313,14 @@ def test_held_out_accuracy(spark):
     assert kept.filter("quality = 0 AND kept").count() <= 0.2 * kept.filter("quality = 0").count()
 
 
+def _files():
+    import public_tokenizers as public
+
+    return public.path("byte_bpe_multi_50k.tiktoken"), public.path("byte_bpe_50k.json"), public.PATTERN
+
+
 OPERATORS = {
+    "bpe": lambda d: bpe.report(d, _files()[0], _files()[2]), "token_counts": lambda d: token_counts.report(d, *_files()[1:]), "budgets": lambda d: token_counts.budgets(d, *_files()[1:], [3, 512]),
     "pii": pii.report, "minhash": minhash.near_duplicates, "mixing": mixing.report, "langid": langid.report, "rules": rules.report, "spotsigs": spotsigs.report,
     "quality": lambda d: quality.report(d, labels(d.sparkSession)), "toxicity": lambda d: toxicity.report(d, labels(d.sparkSession)),
 }
