@@ -151,6 +151,6 @@ def report(docs: DataFrame) -> DataFrame:
     tails = rows.drop("__r").join(ends, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__h") == F.col("__h2"))).dropDuplicates(["__r"])
     tails = tails.select("__id", "__t", "__r", "__h", F.lit(1).alias("__end"))
     every = rows.withColumn("__end", F.lit(0)).unionByName(tails)
-    parts = max(len(heads), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    every = every.repartition(parts, "__r").sortWithinPartitions("__r", "__end", "__id", "__h")
+    # Each range is a partition of its own: hashed, several would meet in one task.
+    every = every.repartitionById(len(cuts) + 1, F.col("__r").cast("int")).sortWithinPartitions("__r", "__end", "__id", "__h")
     return every.select("__r", "__id", "__t").mapInArrow(lean(_compared, _cache.clear), _SCHEMA)
