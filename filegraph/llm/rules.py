@@ -2,8 +2,10 @@
 
 A document's statistics (length, word length, symbols, capitals, repeated words and lines, marks, distinct words) are
 transformed to a vector. For each group of one language and source the minimum-covariance-determinant estimate is found
-by concentration steps from the median: keep the SUBSET of the group's rows nearest by Mahalanobis distance, take their
-mean and covariance, repeat. A document is rejected when its distance is beyond CUT, a chi-square quantile.
+by concentration steps: keep the SUBSET of the group's rows nearest by Mahalanobis distance, take their mean and
+covariance, and repeat until the determinant's logarithm falls by no more than TOLERANCE. Each group has two starts, the
+median with the median deviations and one step of a weighted estimate that gives far rows little weight; the end of the
+lesser determinant is taken. A document is rejected when its distance is beyond CUT, a chi-square quantile.
 
 All rows of a group that pass the base rules enter its estimate: quantiles and moments are aggregates, nothing is
 gathered. Groups of fewer than MIN_GROUP such rows (some six for each dimension) are pooled by language, and such pools,
@@ -22,12 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filegraph.llm.common import bounded_batches, lean, mix64, staged, text_batches
 
-SUBSET, STEPS, MIN_GROUP = 0.75, 4, 50
+SUBSET, TOLERANCE, MIN_GROUP = 0.75, 0.01, 50
 #: Least standard deviation of: log words, log word length, symbol share, capital share, repeat share, duplicate-line share, mark share, log distinct-word excess.
 FLOOR = (0.25, 0.08, 0.02, 0.03, 0.04, 0.08, 0.03, 0.06)
 P = len(FLOOR)
@@ -88,17 +90,23 @@ def measure(docs: DataFrame) -> DataFrame:
     return df.mapInArrow(lean(_measured), "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS) + ", x array<double>")
 
 
+_ESTIMATE = "g string, start int, mean array<double>, inverse array<double>, size double"
+
+
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mean and inverse covariance of each row's moments (sums of x, and of x times x)."""
+    """Mean, inverse covariance and its determinant's logarithm of each row's moments (sums of z and of z times z, z from the point `mean`)."""
     floor = np.diag(np.square(FLOOR))
     for b in batches:
-        mean, inverse = [], []
-        for n, one, two in zip(*(b.column(c).to_pylist() for c in ("n", "one", "two")), strict=True):
+        mean, inverse, size = [], [], []
+        for n, at, one, two in zip(*(b.column(c).to_pylist() for c in ("n", "mean", "one", "two")), strict=True):
             m = np.array(one) / n
             cov = np.array(two).reshape(P, P) / n - np.outer(m, m)
-            mean.append(m.tolist())
-            inverse.append(np.linalg.inv((cov + cov.T) / 2 + floor).ravel().tolist())
-        yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(mean, pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64()))], names=["g", "mean", "inverse"])
+            cov = (cov + cov.T) / 2 + floor
+            mean.append((np.array(at) + m).tolist())
+            inverse.append(np.linalg.inv(cov).ravel().tolist())
+            size.append(float(np.linalg.slogdet(cov)[1]))
+        arrays = [pa.array(v, pa.list_(pa.float64())) for v in (mean, inverse)]
+        yield pa.RecordBatch.from_arrays([b.column("g"), b.column("start"), *arrays, pa.array(size, pa.float64())], names=["g", "start", "mean", "inverse", "size"])
 
 
 _DISTANCE = " + ".join(f"inverse[{i * P + j}] * (x[{i}] - mean[{i}]) * (x[{j}] - mean[{j}])" + (" * 2" if i < j else "") for i in range(P) for j in range(i, P))
@@ -114,27 +122,56 @@ def grouped(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("g", F.expr(_group("lang", "source")))
     for wider in (F.concat_ws("\u0001", F.lit("pool"), F.expr(_group("lang", None))), F.lit("pool"), F.lit(None).cast("string")):
         sizes = rows.groupBy("g").agg(F.count_if(~F.col("base_failed")).alias("rows"))
-        small = sizes.filter(F.col("rows") < MIN_GROUP).select("g", F.lit(True).alias("small"))
+        # Written first, so that its measured size decides the join: a hot group's rows need not meet in one task.
+        small = staged(sizes.filter(F.col("rows") < MIN_GROUP).select("g", F.lit(True).alias("small")), "rules-small")
         rows = rows.join(small, "g", "left").withColumn("g", F.when(F.col("small"), wider).otherwise(F.col("g"))).drop("small")
     return rows
 
 
-def estimate(rows: DataFrame) -> DataFrame:
-    """g, mean, inverse, cut: the minimum-covariance-determinant estimate of each group of rows (g, x)."""
-    rows = rows.filter(F.col("g").isNotNull()).select("g", "x")
+def _fitted(rows: DataFrame, weight: Column) -> DataFrame:
+    """The estimate of each (g, start) from rows (g, start, x, mean) of a weight."""
+    z = [F.col("x")[i] - F.col("mean")[i] for i in range(P)]
+    one = F.array(*[F.sum(weight * z[i]) for i in range(P)])
+    two = F.array(*[F.sum(weight * z[min(i, j)] * z[max(i, j)]) for i in range(P) for j in range(P)])
+    sums = rows.groupBy("g", "start").agg(F.sum(weight).alias("n"), F.first("mean").alias("mean"), one.alias("one"), two.alias("two"))
+    return sums.mapInArrow(_estimates, _ESTIMATE)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Two estimates of each group to concentrate from."""
     middle = rows.groupBy("g").agg(F.array(*[F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(P)]).alias("mean"))
+    middle = staged(middle, "rules-middle")
     off = rows.join(middle, "g").groupBy("g").agg(F.first("mean").alias("mean"), *[F.percentile_approx(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5, 1000).alias(f"d{i}") for i in range(P)])
     spread = [F.when(F.lit(i == j), 1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOOR[i] ** 2)).otherwise(F.lit(0.0)) for i in range(P) for j in range(P)]
-    now = staged(off.select("g", "mean", F.array(*spread).alias("inverse")), "rules-start")
-    for _ in range(STEPS):
-        far = rows.join(now, "g").select("g", "x", F.expr(_DISTANCE).alias("d"))
-        cut = far.groupBy("g").agg(F.percentile_approx("d", SUBSET, 1000).alias("cut"))
-        near = far.join(staged(cut, "rules-cut"), "g").filter("d <= cut")
-        two = F.array(*[F.sum(F.col("x")[min(i, j)] * F.col("x")[max(i, j)]) for i in range(P) for j in range(P)])
-        sums = near.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(P)]).alias("one"), two.alias("two"))
-        now = staged(sums.mapInArrow(_estimates, "g string, mean array<double>, inverse array<double>"), "rules-step")
-    cut = rows.join(now, "g").select("g", F.expr(_DISTANCE).alias("d")).groupBy("g").agg(F.percentile_approx("d", SUBSET, 1000).alias("cut"))
-    return now.join(cut, "g")
+    endless = F.lit(float("inf")).alias("size")  # the first step is always taken
+    first = staged(off.select("g", F.lit(0).alias("start"), "mean", F.array(*spread).alias("inverse"), endless), "rules-start")
+    near = rows.join(first, "g").select("g", F.lit(1).alias("start"), "x", "mean", F.expr(_DISTANCE).alias("d"))
+    second = _fitted(near, P / (P + F.col("d"))).select("g", "start", "mean", "inverse", endless)
+    return staged(first.unionByName(second), "rules-starts")
+
+
+def estimate(rows: DataFrame) -> DataFrame:
+    """g, mean, inverse, cut: the minimum-covariance-determinant estimate of each group of rows (g, x).
+
+    Every step lowers the determinants of those that go on by more than TOLERANCE, and FLOOR bounds them from below.
+    """
+    rows = rows.filter(F.col("g").isNotNull()).select("g", "x")
+    moving = _starts(rows)
+    ends = [moving.limit(0)]
+    while not moving.isEmpty():
+        far = rows.join(moving, "g").select("g", "start", "x", "mean", F.expr(_DISTANCE).alias("d"))
+        cut = staged(far.groupBy("g", "start").agg(F.percentile_approx("d", SUBSET, 1000).alias("cut")), "rules-cut")
+        now = _fitted(far.join(cut, ["g", "start"]).filter("d <= cut"), F.lit(1.0))
+        now = staged(now.join(moving.select("g", "start", F.col("size").alias("was")), ["g", "start"]), "rules-step")
+        goes_on = F.col("was") - F.col("size") > TOLERANCE
+        ends.append(now.filter(~goes_on).drop("was"))
+        moving = staged(now.filter(goes_on).drop("was"), "rules-moving")
+    least = ends[0]
+    for e in ends[1:]:
+        least = least.unionByName(e)
+    least = staged(least.groupBy("g").agg(F.min(F.struct("size", "start", "mean", "inverse")).alias("best")).select("g", "best.mean", "best.inverse"), "rules-least")
+    cut = rows.join(least, "g").select("g", F.expr(_DISTANCE).alias("d")).groupBy("g").agg(F.percentile_approx("d", SUBSET, 1000).alias("cut"))
+    return least.join(cut, "g")
 
 
 def judge(docs: DataFrame) -> DataFrame:
